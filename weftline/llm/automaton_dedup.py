@@ -131,7 +131,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
 
 
 #: Columns of a packed batch of runs and their types.
-PACKED = (("key", "<u8"), ("doc_id", "<i8"), ("pos", "<u4"), ("count", "u1"))
+PACKED = (("key", "<u8"), ("doc_id", "<i8"), ("pos", "<u4"), ("count", "<u4"))
 
 
 def _pack(columns: dict[str, np.ndarray]) -> bytes:

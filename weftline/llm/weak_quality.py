@@ -26,11 +26,15 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common
 
+#: The feature of a word that equals the one before it.
+AGAIN = b"word again"
 SAMPLE, DIMENSIONS, SEED, THRESHOLD = 2000, 1 << 14, 11, 0.5
-LABELLERS = ("case", "symbols", "separators", "repetition", "lines", "stopwords", "endings")
+LABELLERS = ("case", "symbols", "separators", "repetition", "lines", "stopwords", "plain")
 GOOD, NOTHING, BAD = 1, 0, -1
 #: Common function words of the four languages of the corpus.
 STOPWORDS = frozenset(b"the of and to in a is that for on with as by this be are from or an it was de la le les et des en un une du que qui dans pour par sur el los las y der die und das den von zu mit ist ein eine nicht auf".split())
+#: A word as prose has it: letters of one word with a mark after it at most.
+_PLAIN = re.compile(rb"[(\"']?[A-Z\x80-\xff]?[a-z\x80-\xff'-]*[.,;:?!)\"']?")
 _SHAPES = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"9"))
 
 
@@ -42,24 +46,25 @@ def votes(text: bytes) -> tuple[int, ...]:
     n = len(words)
     letters = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     upper, lower = int(letters[65:91].sum()), int(letters[97:123].sum())
-    marks = int(letters[[33, 35, 36, 37, 42, 43, 60, 61, 62, 64, 94, 126]].sum())
+    marks = int(letters[[33, 35, 36, 37, 38, 42, 43, 60, 61, 62, 64, 94, 126]].sum())
     bars = words.count(b"|")
     lines = [x for x in text.split(b"\n") if x.strip()]
-    distinct = len(set(words)) / n
-    common_words = sum(map(STOPWORDS.__contains__, words)) / n
-    ends = int(letters[[46, 63]].sum()) / n
+    fresh = words[:1] + [b for a, b in zip(words, words[1:], strict=False) if a != b]
+    again = 1 - len(fresh) / n
+    common_words = sum(map(STOPWORDS.__contains__, fresh)) / n
 
     def vote(good: bool, bad: bool) -> int:
         return BAD if bad else GOOD if good else NOTHING
 
+    plain = sum(1 for w in fresh if _PLAIN.fullmatch(w)) / n
     return (
-        vote(upper < 0.2 * (upper + lower), upper > 0.5 * (upper + lower) and upper + lower > 20),
-        vote(marks < 0.1 * n, marks > 0.5 * n),
-        vote(bars == 0, bars > 0.1 * n),
-        vote(n < 50 or distinct > 0.3, n >= 50 and distinct < 0.15),
-        vote(len(set(lines)) > 0.8 * len(lines), len(lines) > 3 and len(set(lines)) < 0.5 * len(lines)),
+        vote(False, upper > 0.5 * (upper + lower) and upper + lower > 20),
+        vote(False, marks > 0.3 * n),
+        vote(False, bars > 0.1 * n),
+        vote(False, n >= 20 and again > 0.15),
+        vote(False, len(lines) > 3 and len(set(lines)) < 0.5 * len(lines)),
         vote(common_words > 0.08, n >= 30 and common_words < 0.02),
-        vote(0.01 <= ends <= 0.6, n >= 50 and (ends < 0.002 or ends > 0.8)),
+        vote(plain > 0.85, plain < 0.6),
     )
 
 
@@ -94,9 +99,9 @@ def _slots(word: bytes, dimensions: int) -> tuple[int, int]:
 
 
 def hashed(text: bytes, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and shares of a text's words and word shapes."""
+    """Slots and shares of a text's words, word shapes and words equal to the one before."""
     words = text.split()
-    slots = np.array([s for w in words for s in _slots(w, dimensions)], np.int64)
+    slots = np.array([s for w in words for s in _slots(w, dimensions)] + [zlib.crc32(AGAIN) % dimensions] * sum(map(bytes.__eq__, words, words[1:])), np.int64)
     found, counts = np.unique(slots, return_counts=True)
     return found, counts / max(len(words), 1)
 
@@ -117,10 +122,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], dimensions: int = DI
 
 
 class Scorer(dict):
-    """A word's weight, worked out once; the table is emptied when it has a million words."""
+    """A word's weight, worked out once; the table is emptied when it is full."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights, self.bias = weights, float(weights[-1])
+        self.weights, self.bias, self.again = weights, float(weights[-1]), float(weights[zlib.crc32(AGAIN) % (len(weights) - 1)])
 
     def __missing__(self, word: bytes) -> float:
         if len(self) >= 300_000:
@@ -133,7 +138,7 @@ class Scorer(dict):
         words = text.split()
         if not words:
             return 0.0
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, math.fsum(map(self.__getitem__, words)) / len(words) + self.bias))))
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, (math.fsum(map(self.__getitem__, words)) + self.again * sum(map(bytes.__eq__, words, words[1:]))) / len(words) + self.bias))))
 
 
 def _voted(docs: DataFrame) -> DataFrame:
