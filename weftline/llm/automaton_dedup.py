@@ -113,7 +113,8 @@ def window_runs(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     at = np.flatnonzero(new)
     first_word = np.searchsorted(text, np.arange(len(bounds) - 1))
     hashes = _rolled(words, WINDOW, 40)[places] & np.uint64((1 << 48) - 1)
-    return {"key": key[at], "text": owner[at], "pos": places[at] - first_word[owner[at]], "count": np.diff(np.append(at, len(places))), "hashes": hashes}
+    # least hashes crowd at zero; mixing them again, which is one to one, spreads them evenly over the buckets
+    return {"key": _mixed(key[at]), "text": owner[at], "pos": places[at] - first_word[owner[at]], "count": np.diff(np.append(at, len(places))), "hashes": hashes}
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
