@@ -91,18 +91,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, block: in
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
-                doc_ids.append(doc_id)
-                lengths.append(len(ids) // 4)
-                parts.append(ids)
-                held += len(ids) // 4
-                if held >= segment_ids:
-                    yield flush()
+            for part, texts in common.text_slices(batch, 1):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+                    doc_ids.append(doc_id)
+                    lengths.append(len(ids) // 4 + 1)
+                    parts += (ids, end)
+                    held += lengths[-1]
+                    if held >= segment_ids:
+                        yield flush()
         if doc_ids:
             yield flush()
 
-    ordered = docs.select("doc_id", common.text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(path)
 
 

@@ -7,7 +7,10 @@ import re
 import tempfile
 import uuid
 from array import array
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,38 +74,157 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def _byte_table() -> dict[int, int]:
+    """Bytes as letters, the way byte-level vocabularies write them: printable ones stand for themselves, others follow 255."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (k for k in range(256) if k not in own)
+    return {byte: 256 + nth for nth, byte in enumerate(others)}
+
+
+_BYTE_TABLE = _byte_table()
+
+
+def _byte_letters(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_BYTE_TABLE)
+
+
+def _odd_space() -> re.Pattern[bytes]:
+    spaces = [chr(k) for k in range(0x3001) if chr(k).isspace() and chr(k) not in " \n"]
+    return re.compile(b"|".join(re.escape(c.encode()) for c in spaces))
+
+
 class CachedEncoder(dict):
     """Token ids of whole texts as little-endian bytes, by a file of the tokenizers library.
 
     A text is cut before each space or newline that follows a non-space character. No pre-token of the
     supported files holds white space after another character, so encoding the cuts one by one gives the ids of
-    the whole text, and the ids of frequent cuts are kept. Texts with other white space are encoded whole.
-    The cache has two generations of at most `capacity` entries each.
+    the whole text. Equal cuts of a slice of texts are found together by sorting their bytes, each distinct cut is
+    looked up or encoded once, and ids are gathered for the whole slice. Texts with other white space are encoded
+    whole. The table of cuts has two generations of at most `capacity` entries each.
+
+    A cut of Latin letters with marks after them goes to the tokenizer's model without the steps before it, if
+    one of two ways to write its pre-tokens (PROBES are encoded either way when the file is opened) gives the same ids.
     """
 
-    CUTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-    ODD_SPACE = re.compile(r"[^\S \n]")
+    LATIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$#%&|]*)")
+    PROBES = (" the", "\nThe", "The", " Éauíß.", " end,", " WORDS!!", "\nnaïveÀ", " that&&&", " x***", "Øre;?", " thontionea", " unglichkeit$$$", " añosciónmente", "\nÉpa|")
 
-    def __init__(self, path: str, code: str = "I", capacity: int = 250_000):
+    ODD_SPACE = _odd_space()
+    LANES = 3  # cuts of up to 24 bytes are compared as 64-bit numbers
+
+    def __init__(self, path: str, code: str = "I", capacity: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.code, self.capacity, self.old = Tokenizer.from_file(path), code, capacity, {}
-
-    def __missing__(self, cut: str) -> bytes:
+        self.model, self.marks = self.tokenizer.model, {"": []}
+        ways = (self._spaced, self._lower)
+        self.pretokens = next((way for way in ways if all(self._latin(x, way) == self.whole(x.encode()) for x in self.PROBES)), None)
+
+    @staticmethod
+    def _spaced(space: str, word: str) -> list[str]:
+        """Byte-level pre-tokens: a space belongs to the word after it, a newline is its own."""
+        return [_byte_letters("\n"), _byte_letters(word)] if space == "\n" else [_byte_letters(space + word)]
+
+    @staticmethod
+    def _lower(space: str, word: str) -> list[str]:
+        """Pre-tokens in lower case without white space."""
+        return [_byte_letters(word.lower())]
+
+    def _latin(self, cut: str, way: Callable[[str, str], list[str]]) -> bytes | None:
+        found = self.LATIN.fullmatch(cut)
+        if found is None:
+            return None
+        ids = [token.id for part in way(found[1], found[2]) for token in self.model.tokenize(part)]
+        marks = found[3]
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {"": []}
+            self.marks[marks] = [token.id for token in self.model.tokenize(marks)]
+        return array(self.code, ids + self.marks[marks]).tobytes()
+
+    def __missing__(self, cut: bytes) -> bytes:
         ids = self.old.get(cut)
         if ids is None:
-            ids = array(self.code, self.tokenizer.encode(cut, add_special_tokens=False).ids).tobytes()
+            ids = self.pretokens and self._latin(cut.decode(), self.pretokens)
+            ids = self.whole(cut) if ids is None else ids
         if len(self) >= self.capacity:
             self.old = dict(self)
             self.clear()
         self[cut] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        if self.ODD_SPACE.search(text):
-            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.__getitem__, self.CUTS.findall(text)))
+    def whole(self, text: bytes) -> bytes:
+        return array(self.code, self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of some texts of a few MB in all."""
+        odd = {k for k, text in enumerate(texts) if self.ODD_SPACE.search(text)}
+        even = [b"" if k in odd else text for k, text in enumerate(texts)]
+        raw = b"".join(even)
+        width = array(self.code).itemsize
+        if raw:
+            ids, ends = self._gather(raw, np.cumsum([0, *map(len, even)]))
+            data, ends = memoryview(ids.tobytes()), (ends * width).tolist()
+            out = [bytes(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        else:
+            out = [b""] * len(texts)
+        for k in odd:
+            out[k] = self.whole(texts[k])
+        return out
+
+    def _gather(self, raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that lie one after the other, and where each text's ids begin and the last one's end."""
+        n = len(raw)
+        data = np.frombuffer(raw + bytes(8 * self.LANES + 8), np.uint8)
+        space = (data[:n] == 32) | (data[:n] == 10)
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        first[bounds[:-1][bounds[:-1] < n]] = True
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, n))
+        numbers = np.ndarray((n + 8 * self.LANES,), "<u8", buffer=data, strides=(1,))
+        masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        lanes = [numbers[starts + 8 * k] & masks[np.clip(sizes - 8 * k, 0, 8)] for k in range(self.LANES)]
+        key = sizes.astype(np.uint64)
+        for lane in lanes:
+            key = (key ^ lane) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        long = np.flatnonzero(sizes > 8 * self.LANES)
+        key[long] = np.arange(len(long), dtype=np.uint64)
+        order = np.argsort(key)
+        new = np.ones(len(order), bool)
+        new[1:] = sizes[order[1:]] != sizes[order[:-1]]
+        for lane in lanes:
+            lane = lane[order]
+            new[1:] |= lane[1:] != lane[:-1]
+        new |= (sizes > 8 * self.LANES)[order]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        picked = order[new]
+        a = starts[picked]
+        pieces = [self[raw[x:y]] for x, y in zip(a.tolist(), (a + sizes[picked]).tolist(), strict=True)]
+        pool = np.frombuffer(b"".join(pieces), np.dtype(f"<u{array(self.code).itemsize}"))
+        lengths = np.array([len(x) for x in pieces], np.int64) // pool.itemsize
+        offsets = np.cumsum(lengths) - lengths
+        counts = lengths[which]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(offsets[which] - ends[:-1], counts)
+        at += np.arange(len(at))
+        return pool[at], ends[np.searchsorted(starts, bounds)]
+
+
+def text_slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch whose texts (a binary column) have about `size` bytes, with the texts; null counts as empty."""
+    at = 0
+    texts = [x or b"" for x in batch.column(column).to_pylist()]
+    while at < len(texts):
+        end, total = at + 1, len(texts[at])
+        while end < len(texts) and total + len(texts[end]) <= size:
+            total += len(texts[end])
+            end += 1
+        yield batch.slice(at, end - at), texts[at:end]
+        at = end
 
 
 _encoders: dict[tuple[str, str], CachedEncoder] = {}

@@ -83,17 +83,15 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         part, queues = TaskContext.get().partitionId(), {}
         encode, end = common.encoder(tokenizer, "H").encode, np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                piece = batch.slice(at, 512)
-                sources, starts, ids = piece.column(1).to_pylist(), [], []
-                for source, text in zip(sources, piece.column(2), strict=True):
-                    ids.append(encode(text.as_py()) + end)
+            for piece, texts in common.text_slices(batch, 2):
+                sources, starts, ids = piece.column(1).to_pylist(), [], [x + end for x in encode(texts)]
+                for source, x in zip(sources, ids, strict=True):
                     starts.append(queues.get(source, 0))
-                    queues[source] = starts[-1] + len(ids[-1]) // 2
+                    queues[source] = starts[-1] + len(x) // 2
                 columns = [pa.array([part] * len(piece), pa.int32()), piece.column(1), piece.column(0), pa.array(starts, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    encoded = docs.select("doc_id", "source", common.text_or_empty().alias("text")).mapInArrow(rows, "part int, source string, doc_id long, local_start long, n long, ids binary")
+    encoded = docs.select("doc_id", "source", F.col("text").cast("binary").alias("text")).mapInArrow(rows, "part int, source string, doc_id long, local_start long, n long, ids binary")
     return common.materialise(encoded, "packing-ids", compression="zstd")
 
 
