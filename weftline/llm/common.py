@@ -112,7 +112,7 @@ class CachedEncoder(dict):
     ODD_SPACE = _odd_space()
     LANES = 3  # cuts of up to 24 bytes are compared as 64-bit numbers
 
-    def __init__(self, path: str, code: str = "I", capacity: int = 600_000):
+    def __init__(self, path: str, code: str = "I", capacity: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -158,7 +158,7 @@ class CachedEncoder(dict):
         return array(self.code, self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of some texts of a few MB in all."""
+        """Ids of some texts of about two MB in all."""
         odd = {k for k, text in enumerate(texts) if self.ODD_SPACE.search(text)}
         even = [b"" if k in odd else text for k, text in enumerate(texts)]
         raw = b"".join(even)
@@ -214,7 +214,7 @@ class CachedEncoder(dict):
         return pool[at], ends[np.searchsorted(starts, bounds)]
 
 
-def text_slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def text_slices(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch whose texts (a binary column) have about `size` bytes, with the texts; null counts as empty."""
     at = 0
     texts = [x or b"" for x in batch.column(column).to_pylist()]
