@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ class CachedEncoder(dict):
     ODD_SPACE = _odd_space()
     LANES = 3  # cuts of up to 24 bytes are compared as 64-bit numbers
 
-    def __init__(self, path: str, code: str = "I", capacity: int = 400_000):
+    def __init__(self, path: str, code: str = "I", capacity: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -216,14 +217,12 @@ class CachedEncoder(dict):
 
 def text_slices(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch whose texts (a binary column) have about `size` bytes, with the texts; null counts as empty."""
-    at = 0
-    texts = [x or b"" for x in batch.column(column).to_pylist()]
-    while at < len(texts):
-        end, total = at + 1, len(texts[at])
-        while end < len(texts) and total + len(texts[end]) <= size:
-            total += len(texts[end])
-            end += 1
-        yield batch.slice(at, end - at), texts[at:end]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(ends):
+        end = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")), at + 1)
+        part = batch.slice(at, end - at)
+        yield part, [x or b"" for x in part.column(column).to_pylist()]
         at = end
 
 

@@ -128,7 +128,7 @@ class Scorer(dict):
         self.weights, self.bias, self.again = weights, float(weights[-1]), float(weights[zlib.crc32(AGAIN) % (len(weights) - 1)])
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         a, b = _slots(word, len(self.weights) - 1)
         self[word] = value = float(self.weights[a] + self.weights[b])
