@@ -1,25 +1,4 @@
 """All registered queries of the engine and their DuckDB counterparts."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from weftline.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _dedupe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    return docs.groupBy(F.sha2(key, 256).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
-
-
-QUERIES["dedupe_documents"] = _dedupe_documents
-ORACLES["dedupe_documents"] = r"""
-SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents
-GROUP BY lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"""
+from weftline.plans import evaluation, layout, relational, reports, tasks, texts  # noqa: F401
+from weftline.plans.registry import ORACLES, QUERIES  # noqa: F401
