@@ -83,9 +83,14 @@ def _byte_table() -> dict[int, int]:
 
 
 _BYTE_TABLE = _byte_table()
+_LETTERS, _MARKS = np.zeros(256, bool), np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+_MARKS[[*b'.,;:!?*$#%&|)"]}']] = True
 
 
 def _byte_letters(text: str) -> str:
+    if text.isascii() and text.isalpha():
+        return text
     return text.encode().decode("latin-1").translate(_BYTE_TABLE)
 
 
@@ -97,11 +102,11 @@ def _odd_space() -> re.Pattern[bytes]:
 class CachedEncoder(dict):
     """Token ids of whole texts as little-endian bytes, by a file of the tokenizers library.
 
-    A text is cut before each space or newline that follows a non-space character. No pre-token of the
-    supported files holds white space after another character, so encoding the cuts one by one gives the ids of
-    the whole text. Equal cuts of a slice of texts are found together by sorting their bytes, each distinct cut is
-    looked up or encoded once, and ids are gathered for the whole slice. Texts with other white space are encoded
-    whole. The table of cuts has two generations of at most `capacity` entries each.
+    A text is cut before each space or newline that follows a non-space character, and before a mark that follows a
+    Latin letter. No pre-token of the supported files holds white space after another character, or a mark after a
+    letter, so encoding the cuts one by one gives the ids of the whole text. Equal cuts of a slice of texts are found together by sorting their bytes, each distinct cut is
+    looked up or encoded once, and ids are gathered for the whole slice. Texts with other white space, or
+    with what special tokens begin with, are encoded whole. The table of cuts has two generations of at most `capacity` entries each.
 
     A cut of Latin letters with marks after them goes to the tokenizer's model without the steps before it, if
     one of two ways to write its pre-tokens (PROBES are encoded either way when the file is opened) gives the same ids.
@@ -125,7 +130,8 @@ class CachedEncoder(dict):
     @staticmethod
     def _spaced(space: str, word: str) -> list[str]:
         """Byte-level pre-tokens: a space belongs to the word after it, a newline is its own."""
-        return [_byte_letters("\n"), _byte_letters(word)] if space == "\n" else [_byte_letters(space + word)]
+        letters = _byte_letters(word)
+        return ["Ċ", letters] if space == "\n" else ["Ġ" + letters if space else letters]
 
     @staticmethod
     def _lower(space: str, word: str) -> list[str]:
@@ -136,6 +142,10 @@ class CachedEncoder(dict):
         found = self.LATIN.fullmatch(cut)
         if found is None:
             return None
+        if not found[3]:
+            parts = way(found[1], found[2])
+            ids = [token.id for token in self.model.tokenize(parts[-1])]
+            return array(self.code, [token.id for token in self.model.tokenize(parts[0])] + ids if len(parts) > 1 else ids).tobytes()
         ids = [token.id for part in way(found[1], found[2]) for token in self.model.tokenize(part)]
         marks = found[3]
         if marks not in self.marks:
@@ -160,7 +170,7 @@ class CachedEncoder(dict):
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of some texts of about two MB in all."""
-        odd = {k for k, text in enumerate(texts) if self.ODD_SPACE.search(text)}
+        odd = {k for k, text in enumerate(texts) if b"<|" in text or self.ODD_SPACE.search(text)}
         even = [b"" if k in odd else text for k, text in enumerate(texts)]
         raw = b"".join(even)
         width = array(self.code).itemsize
@@ -181,6 +191,10 @@ class CachedEncoder(dict):
         space = (data[:n] == 32) | (data[:n] == 10)
         first = space.copy()
         first[1:] &= ~space[:-1]
+        mark = np.flatnonzero(_MARKS[data[1:n]]) + 1
+        before, lead = data[mark - 1], data[np.maximum(mark - 2, 0)]
+        latin = (lead == 0xC3) & (before >= 0x80) & (before < 0xC0) & (before != 0x97) & (before != 0xB7)  # not the signs for times and divided by
+        first[mark[_LETTERS[before] | latin]] = True
         first[bounds[:-1][bounds[:-1] < n]] = True
         starts = np.flatnonzero(first)
         sizes = np.diff(np.append(starts, n))
