@@ -103,7 +103,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, block: in
             yield flush()
 
     ordered = docs.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(segments, SEGMENTS).write.options(**{"compression": "none", "parquet.block.size": str(16 << 20)}).parquet(path)
 
 
 def read_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
