@@ -12,13 +12,17 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def words(docs: DataFrame) -> DataFrame:
-    """Tokens of each line with a box of 8 units a character and 14 of height, lines 20 apart, and a confidence."""
-    cells = lines(docs).select("doc_id", "line_no", F.filter(F.split("line", " "), lambda w: w != "").alias("ws"))
-    at = F.transform("ws", lambda w, k: F.struct(w.alias("text"), k.alias("pos"), F.when(k > 0, 8 * (F.length(F.array_join(F.slice("ws", 1, F.greatest(k, F.lit(1))), " ")) + 1)).otherwise(0).alias("x1")))
-    flat = cells.select("doc_id", "line_no", F.inline(at))
-    top = 20 * F.col("line_no")
+    """Tokens of each line with a box of 8 units a character and 14 of height, lines 20 apart, and a confidence.
+
+    Texts are dealt by document before they are taken apart, so windows and groups by document, or by document and
+    line, need no further exchange of the many words.
+    """
+    flat = lines(docs.select("doc_id", "text").repartition("doc_id")).select("doc_id", "line_no", F.posexplode(F.filter(F.split("line", " "), lambda w: w != "")).alias("pos", "text"))
+    before = Window.partitionBy("doc_id", "line_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.coalesce(F.sum(8 * (F.length("text") + 1)).over(before), F.lit(0)).cast("int")
     conf = (F.col("doc_id") * 31 + F.col("line_no") * 7 + F.col("pos")) % 101
-    return flat.select("doc_id", "line_no", "pos", "text", "x1", top.alias("y1"), (F.col("x1") + 8 * F.length("text")).alias("x2"), (top + 14).alias("y2"), conf.cast("double").alias("conf"))
+    placed = flat.withColumn("x1", left)
+    return placed.select("doc_id", "line_no", "pos", "text", "x1", (20 * F.col("line_no")).alias("y1"), (F.col("x1") + 8 * F.length("text")).alias("x2"), (20 * F.col("line_no") + 14).alias("y2"), conf.cast("double").alias("conf"))
 
 
 def confident(tokens: DataFrame, least: float = 40, exempt_numbers: bool = True, drop_noise: bool = True) -> DataFrame:

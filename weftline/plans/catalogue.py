@@ -1,4 +1,4 @@
 """All registered queries of the engine and their DuckDB counterparts."""
 
-from weftline.plans import evaluation, layout, relational, reports, tasks, texts  # noqa: F401
+from weftline.plans import evaluation, layout, pages, relational, reports, tasks, texts  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES  # noqa: F401
