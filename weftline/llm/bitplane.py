@@ -76,6 +76,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, block: in
     """Tokenize documents (doc_id, text) and write them in ascending doc_id order; one shard for each range of ids."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back(tables=False)
         encode = common.encoder(tokenizer).encode
         end, schema = np.array([end_id], "<u4").tobytes(), pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
         shard, number, start = TaskContext.get().partitionId(), 0, 0
@@ -117,6 +118,7 @@ def read_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
         starts[row["shard"]], total = total, total + row["n"]
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back()
         for batch in batches:
             for row in batch.to_pylist():
                 raw = unpack_ids(row["payload"])

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
+import sys
 import tempfile
 import uuid
 from array import array
@@ -243,6 +247,17 @@ def text_slices(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iter
 _encoders: dict[tuple[str, str], CachedEncoder] = {}
 
 
+def give_back(tables: bool = True) -> None:
+    """Return memory that a long-lived Python worker holds from earlier stages; with `tables`, token tables as well."""
+    if tables:
+        _encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def encoder(path: str, code: str = "I") -> CachedEncoder:
     """One encoder for each Python worker."""
     if (path, code) not in _encoders:

@@ -81,6 +81,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, queues = TaskContext.get().partitionId(), {}
+        common.give_back(tables=False)
         encode, end = common.encoder(tokenizer, "H").encode, np.array([end_id], "<u2").tobytes()
         for batch in batches:
             for piece, texts in common.text_slices(batch, 2):
@@ -113,6 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, w
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("window", pa.int64())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back()
         schedule = Schedule(sizes, shares, window)
         for batch in batches:
             columns: list[list] = [[] for _ in out]

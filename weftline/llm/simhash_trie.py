@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for batch in batches:
             found = np.array([fingerprint(shingle_hashes(x.as_py() or b"", shingle)) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        common.give_back()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(rows, "doc_id long, fp long")
 

@@ -189,6 +189,8 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         scorer = Scorer(weights)
         for texts in batches:
             yield pd.Series([scorer.score(x or b"") for x in texts], dtype="float64")
+        del scorer
+        common.give_back()
 
     return docs.withColumn("quality_score", score(F.col("text").cast("binary")))
 
