@@ -9,10 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import common, drr_packing, knapsack_mix, lsm_dedup, simhash_trie, weak_quality
+from weftline.llm import common, drr_packing, jaccard, knapsack_mix, lsm_dedup, weak_quality
 from weftline.session import table
 
 
+#: Key of a row within a stage, as doc_ids can be null or repeated.
+ROW = "pipeline_row"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """Documents with a key for each row; stored, as the key must not change."""
+    return common.materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents without the rows of some keys. Only rows that may be among them (1 MiB filter) are shuffled."""
+    gone = common.materialise(gone, "pipeline-gone")
+    marks = common.bounded_filter(gone, ROW)
+    maybe = common.maybe_in(rows, ROW, marks).join(gone.hint("merge"), ROW, "left_anti")
+    return common.maybe_in(rows, ROW, marks, negate=True).unionByName(maybe).drop(ROW)
+
+
 def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Documents of which a row is kept; rows repeated in doc_id and text stay once.
 
@@ -42,9 +59,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component of linked fingerprints."""
-    found = simhash_trie.near_duplicates(docs)
-    return _kept(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    """The row of smallest doc_id of each component of rows that share 0.8 or more of their five-word shingles."""
+    rows = _rows(docs)
+    return _without(rows, jaccard.surplus(rows, ROW))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

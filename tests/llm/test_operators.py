@@ -259,6 +259,36 @@ def test_pipeline(spark):
     assert all(tokens[p.doc_id] == copies[p.doc_id] * p.doc_tokens for p in pieces)
 
 
+def test_pipeline_near_dedup_links_at_four_fifths(spark):
+    """Five-word shingles, all pairs compared; a copy just below 0.8 stays, one at 0.8 or more goes."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        rows.append((3 * k, " ".join(words), "en", "s", 0))
+        for j, changed in enumerate((len(words) // 50, len(words) // 25)):
+            for at in rng.sample(range(len(words)), changed):
+                words[at] = "other"
+            rows.append((3 * k + j + 1, " ".join(words), "en", "s", 0))
+    rows += [(500, "", "en", "s", 0), (501, None, "en", "s", 0), (None, rows[0][1], "en", "s", 0), (502, "two words", "en", "s", 0), (502, "TWO  words", "en", "s", 0)]
+    sets = []
+    for _, text, *_ in rows:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else set())
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    wanted = Counter(min((rows[k][0] for k in range(len(rows)) if root[k] == r and rows[k][0] is not None)) for r in set(root))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter(r.doc_id for r in common.materialise(pipeline.near_dedup(spark, docs, ""), "test-near").collect())
+    assert 60 < len(set(root)) < len(rows) - 5
+    assert got == wanted
+
+
 def test_pipeline_edges(spark, docs, empty):
     import corpus_pipeline as pipeline
 
