@@ -47,3 +47,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_grid_markdown_holds_every_word(spark, tmp_path):
+    long = " ".join(f"word{k}" for k in range(200))
+    rows = [(1, f"{long}\nshort line"), (2, "one"), (3, "a" * 25 + " b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.markdown for r in QUERIES["grid_markdown"](spark, str(tmp_path)).collect()}
+    for doc_id, text in rows:
+        assert sorted(w for w in got[doc_id].split("\n")[0].split() if w not in ("|", "Column") and not w.isdigit()) == sorted(text.split())
+    assert {d: got[d].split("\n")[0].count(" |") for d in got} == {1: -(-8 * len(long) // 200), 2: 1, 3: 2}

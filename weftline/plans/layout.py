@@ -78,10 +78,15 @@ def cell_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def grid_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cells(spark, sf_dir).groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("cells"))
-    full = rows.select("doc_id", "row", F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint")), lambda k: F.coalesce(F.try_element_at("cells", k), F.lit(""))).alias("cells"))
-    ordered = full.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"]).alias("rows"))
-    return ordered.select("doc_id", text.table_markdown(F.col("rows")).alias("markdown"))
+    """Every word on a grid of columns of 200, as many as each document's longest line needs."""
+    col = F.greatest(F.ceil((F.col("x1") + F.col("x2")) / 400) - 1, F.lit(0)).cast("bigint")
+    placed = _words(spark, sf_dir).withColumn("col", col).withColumn("row", F.floor(F.col("line_no") / 2))
+    cells = placed.groupBy("doc_id", "row", "col").agg(text.cell_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "x1", "text"))), lambda w: w["text"]), " ")).alias("cell"), F.max("x2").alias("reach"))
+    rows = cells.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "cell"))).alias("cells"), F.max("reach").alias("reach"))
+    grids = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows"), F.ceil(F.max("reach") / 200).cast("bigint").alias("width"))
+    across = F.sequence(F.lit(0).cast("bigint"), F.col("width") - 1)
+    full = F.transform("rows", lambda r: F.transform(across, lambda k: F.coalesce(F.try_element_at(F.map_from_entries(r["cells"]), k), F.lit(""))))
+    return grids.select("doc_id", text.table_markdown(full).alias("markdown"))
 
 
 @query(f"""WITH {_WORDS}, r AS (SELECT doc_id, x1, x2, max(x2) OVER (PARTITION BY doc_id ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w WHERE conf < 20),
