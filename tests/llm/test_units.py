@@ -99,6 +99,11 @@ def test_fit_is_exact_where_ones_are_left():
     assert sum(n * k for n, k in knapsack_mix.fit({1: 50, 1000: 300, 70_000: 3}, 123_030).items()) == 123_030
 
 
+@pytest.mark.parametrize("counts, budget, wanted", [({300_000: 1, 310_000: 1}, 590_000, 610_000), ({1_000_000: 1}, 900_000, 1_000_000), ({1_000_000: 1}, 400_000, 0), ({1_000_000: 1}, 500_000, 0)])
+def test_fit_goes_over_by_a_long_document_where_that_is_nearer(counts, budget, wanted):
+    assert sum(n * k for n, k in knapsack_mix.fit(counts, budget).items()) == wanted
+
+
 def test_targets():
     got = knapsack_mix.targets({"b": 100, "a": 10, None: 0, "c": 1000})
     assert got["a"] == 30 and got["b"] == 300 and got[None] == 0
