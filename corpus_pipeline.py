@@ -30,24 +30,6 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return common.maybe_in(rows, ROW, marks, negate=True).unionByName(maybe).drop(ROW)
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Documents of which a row is kept; rows repeated in doc_id and text stay once.
-
-    Only doc_ids that go or are repeated matter. Documents outside a filter of them (1 MiB at any size) pass as they
-    are; the rest meet the marked ids in a merge join, as those grow with the input.
-    """
-    ids = decisions.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("NOT kept OR rows > 1")
-    ids = common.materialise(ids, "pipeline-marked")
-    marks = common.bounded_filter(ids, "doc_id")
-    plain = common.maybe_in(docs, "doc_id", marks, negate=True)
-    maybe = common.maybe_in(docs, "doc_id", marks)
-    ids = ids.select(F.col("doc_id").alias("marked_id"), F.col("kept").alias("marked_kept")).hint("merge")
-    met = maybe.join(ids, maybe["doc_id"].eqNullSafe(ids["marked_id"]), "left")
-    stay = met.where("marked_kept IS NULL").select(*(maybe[c] for c in docs.columns))
-    once = met.where("marked_kept").select(*(maybe[c] for c in docs.columns)).dropDuplicates(["doc_id", "text"])
-    return plain.unionByName(stay).unionByName(once)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     return weak_quality.accepted(docs)
@@ -55,7 +37,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal normalised texts."""
-    return _kept(docs, lsm_dedup.dedup(docs))
+    rows = _rows(docs)
+    found = lsm_dedup.dedup(rows.select(F.struct("doc_id", ROW).alias("doc_id"), "text"))
+    return _without(rows, found.where("NOT kept").select(F.col(f"doc_id.{ROW}").alias(ROW)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,11 +49,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them. Rows that agree in doc_id get the largest of their numbers."""
-    taken = knapsack_mix.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max(F.expr("cast(taken / size as int)")).alias("mix_copies"))
+    """Rows as often as the mix takes them."""
+    rows = _rows(docs)
+    taken = knapsack_mix.mix(rows, keys=(ROW,)).where("taken > 0").select(ROW, F.expr("cast(taken / size as int)").alias("mix_copies"))
     taken = common.materialise(taken, "pipeline-mix").hint("merge")  # a row for each document taken: never broadcast
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mixed_id"]))
-    return joined.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*(docs[c] for c in docs.columns))
+    joined = rows.join(taken, ROW)
+    return joined.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -289,6 +289,20 @@ def test_pipeline_near_dedup_links_at_four_fifths(spark):
     assert got == wanted
 
 
+def test_pipeline_decides_by_row(spark):
+    """Null and repeated doc_ids: copies go row by row, and each row has its own number in the mix."""
+    import corpus_pipeline as pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(3, "B b"), (7, "A a"), (7, "B\nb"), (None, "C c"), (None, "C\nc"), (None, "D d")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    got = [(r.doc_id, r.text.split()[0]) for r in common.materialise(pipeline.exact_dedup(spark, docs, ""), "test-rows").collect()]
+    assert Counter(got) == Counter([(3, "B"), (7, "A"), (None, "C"), (None, "D")])
+    same = spark.createDataFrame([(1, "a b c " * (k + 1), "en", s, 0) for k in range(9) for s in ("s1", "s2", None)], schema)
+    words = sum(r.taken for r in knapsack_mix.mix(same).collect())
+    assert sum(len(r.text.split()) for r in common.materialise(pipeline.mixture(spark, same, ""), "test-mixed").collect()) == words
+
+
 def test_pipeline_edges(spark, docs, empty):
     import corpus_pipeline as pipeline
 
