@@ -157,20 +157,45 @@ def test_op7(docs):
 
 
 def test_op8(docs):
+    wanted = _op8_brute([(r[0], r[1]) for r in ROWS])
+    assert any(w[2] for w in wanted)
+    assert Counter(map(tuple, automaton_dedup.op8(docs).collect())) == wanted
+
+
+def _op8_brute(rows):
     starts = {}
-    for doc_id, text, *_ in ROWS:
+    for doc_id, text in rows:
         words = (text or "").encode().split()
         for k in range(len(words) - 12):
             if doc_id is not None:
                 starts[tuple(words[k : k + 13])] = min(doc_id, starts.get(tuple(words[k : k + 13]), doc_id))
     wanted = []
-    for doc_id, text, *_ in ROWS:
+    for doc_id, text in rows:
         words = (text or "").encode().split()
         gone = {j for k in range(len(words) - 12) if doc_id is not None and starts[tuple(words[k : k + 13])] < doc_id for j in range(k, k + 13)}
-        kept = b" ".join(w for j, w in enumerate(words) if j not in gone)
-        wanted.append((doc_id, len(words), len(gone), hashlib.sha256(kept).hexdigest()))
-    assert any(w[2] for w in wanted)
-    assert Counter(map(tuple, automaton_dedup.op8(docs).collect())) == Counter(wanted)
+        wanted.append((doc_id, len(words), len(gone), hashlib.sha256(b" ".join(w for j, w in enumerate(words) if j not in gone)).hexdigest()))
+    return Counter(wanted)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_op8_passage_in_every_document(spark, monkeypatch, small):
+    """One passage in every document, long documents, chains of near copies; with small limits all cuts and salts are taken."""
+    if small:
+        for name, value in (("GROUP_BYTES", 2000), ("BATCH_WINDOWS", 200), ("CHUNK_WORDS", 16), ("SHARD_WORDS", 64), ("SEGMENT_WORDS", 100)):
+            monkeypatch.setattr(automaton_dedup, name, value)
+        monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    passage, long = prose(40), prose(3000)
+    rows = [(k, f"{prose(rng.randint(0, 60))} {passage} {prose(rng.randint(0, 60))}") for k in rng.sample(range(1000), 150)]
+    rows += [(1001, long), (1002, long + " end"), (5, long[500:9000]), (1003, "a b " * 300), (1004, "b a " * 50)]
+    words = rows[0][1].split()
+    for k in range(20):
+        words[rng.randrange(len(words))] = f"x{k}"
+        rows.append((rng.randrange(2000), " ".join(words)))
+    rows += [rows[3], (rows[4][0], prose(30) + " " + passage), (None, passage), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(map(tuple, automaton_dedup.op8(table).collect())) == _op8_brute(rows)
 
 
 def test_op9_held_out(spark):
@@ -224,14 +249,32 @@ def test_components_of_a_chain(spark):
     assert got == {**{k: 0 for k in range(41)}, 90: 90, 100: 90}
 
 
-def test_bounded_filter_has_no_false_negatives(docs):
+@pytest.mark.parametrize("most", [4, 0])
+def test_bounded_filter_has_no_false_negatives(docs, most):
+    """Also where the filter is given up as too full (most = 0)."""
     keys = docs.where("doc_id % 3 = 0")
-    marks = common.bounded_filter(keys, "doc_id", 4)
-    assert {r.doc_id for r in common.maybe_in(docs, "doc_id", marks, 4).collect()} >= {r[0] for r in ROWS if r[0] is not None and r[0] % 3 == 0}
-    both = common.maybe_in(docs, "doc_id", marks, 4).count() + common.maybe_in(docs, "doc_id", marks, 4, negate=True).count()
+    marks = common.bounded_filter(keys, "doc_id", most)
+    assert {r.doc_id for r in common.maybe_in(docs, "doc_id", marks).collect()} >= {r[0] for r in ROWS if r[0] is not None and r[0] % 3 == 0}
+    both = common.maybe_in(docs, "doc_id", marks).count() + common.maybe_in(docs, "doc_id", marks, negate=True).count()
     assert both == len(ROWS)
 
 
+def test_filter_lets_few_others_pass(spark):
+    keys = common.materialise(spark.range(50_000), "test-keys")
+    others = spark.range(1_000_000, 1_050_000)
+    passed = common.maybe_in(others, "id", common.bounded_filter(keys, "id")).count()
+    assert passed < 0.04 * 50_000
+
+
+def test_join_hot(spark, monkeypatch):
+    """A key with most rows meets a broadcast row, the others a shuffle; the result is the plain join's."""
+    left = common.materialise(spark.range(20_000).selectExpr("if(id < 15000, 7, id) AS k", "id AS v"), "test-left")
+    right = common.materialise(left.groupBy("k").count().withColumn("w", common.F.col("k") + 1).where("k != 16000"), "test-right")
+    got = common.join_hot(left, right, "k", "count", 20_000, "left")
+    plain = left.join(right.drop("count"), "k", "left").select("k", "v", "w")
+    assert got.columns == ["k", "v", "w"] and got.exceptAll(plain).count() == plain.exceptAll(got).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 

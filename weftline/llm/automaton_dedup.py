@@ -1,26 +1,31 @@
 """Substring dedup by suffix automata over words.
 
-A word goes if a window of 13 words of its document that covers it also starts in a document of smaller doc_id. All
-documents are the reference, which is unbounded, so automata of whole reference shards are not broadcast; shards are
-cut down to the passages that a document can share, and travel to it:
+A word goes if a window of 13 words of its document that covers it also starts in a document of smaller doc_id. Every
+document is a reference for those after it. Automata of all text would be as large as the corpus, and streaming each
+document through each of them is work in the square of it, so a search first finds which words of the references can be
+shared at all; only these are kept in the reference shards, and a document is streamed through the shards that hold them:
 
 1. Search. Every window has a key, the least hash of its 5-word runs, which only depends on its words; windows in a
-   row mostly share it. Each run of windows with one key goes to its key's bucket with 48 bits of each window's hash.
-   There, windows with equal key and equal hash in several documents give requests: document, position and the
-   smallest document with that window, its owner.
-2. Shards. Requests are merged by document, owner and distance; the owner's passage of words is cut out and sent to
-   the document.
-3. Matching. A suffix automaton over the words of a document's passages is built and the document streamed through
-   it; its matching statistics give the maximal spans of 13 or more words, which are removed. Nothing is removed that
-   an automaton hasn't matched word by word; a window is missed only if 112 bits of hashes collide.
-
-Bounds: a bucket holds a bounded number of runs as their number follows the input; one key belongs to a small part of
-a document's windows, so even a passage that every document holds is a small part of all rows, and merged requests
-are keyed by document. Documents are filtered by bitmaps of 1 MiB at any size before their texts are shuffled.
-
-Edge cases: null texts have no words; documents of under 13 words stay whole; rows with equal doc_id are one another's
-peers, not references, and each is judged alone; a null doc_id is neither reference nor cut; the order of ties can't
-matter as doc_ids decide.
+   row mostly share it. Windows of a group of documents that one of them shares with a smaller one are told at once, and
+   only the smallest one's stay (a partial aggregation, so a passage that all documents hold leaves one run a group).
+   Runs of the others go to their key's bucket with 48 bits of each window's hash, where the same is done for all
+   groups, a batch at a time. Each hit is a request: document, position, and place in a smaller document, the owner.
+2. Shards. The requested words of the owners, in chunks of `CHUNK_WORDS` windows, are dealt to shards of about
+   `SHARD_WORDS` words. The requested parts of documents are dealt to the same shards; a shard that many documents ask
+   for is copied under a salt for each `SEGMENT_WORDS` words to stream, so it is broadcast to the tasks that need it.
+3. Matching. Each task builds its shard's suffix automaton, owners in ascending order, and streams the documents' parts
+   through it; the matching statistics give maximal spans of 13 or more words that a smaller document holds. Spans go
+   back to their documents and their words are removed. Nothing is removed that an automaton hasn't matched word by
+   word; a window is missed only if 64 bits of hashes collide in a group, or 112 bits in a bucket.
+
+Bounds: a bucket holds a bounded number of distinct windows as the number of buckets follows the input's bytes; a shard
+and a document's requests are bounded by words; the driver gets a few counts. Fewer than 1,000 hot shards are listed in
+a broadcast.
+
+Edge cases: null texts have no words; documents of under 13 words stay whole; very long texts are cut in chunks for the
+shards only; rows with equal doc_id are one another's peers, not references, and each is judged alone; repeated rows give
+equal rows; a null doc_id is neither reference nor cut; ties can't matter as doc_ids decide; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -37,7 +41,9 @@ from pyspark.sql import functions as F
 from weftline.llm import common
 
 WINDOW, GRAM = 13, 5
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, GROUP_BYTES = 1 << 20, 8 << 20
+BUCKET_WORDS, BATCH_WINDOWS = 300_000, 1_000_000
+CHUNK_WORDS, SHARD_WORDS, SEGMENT_WORDS = 8192, 1 << 15, 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C55)
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -171,27 +177,69 @@ def _picked(columns: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.nd
     return {k: columns[k][windows if k == "hashes" else rows] for k in columns}
 
 
+def _hits(columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Windows that a smaller document among the runs holds, as requests; and the runs of all other windows."""
+    columns = _picked(columns, np.argsort(columns["doc_id"], kind="stable"))
+    count = columns["count"].astype(np.int64)
+    run = np.repeat(np.arange(len(count)), count)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    hashes, key = columns["hashes"], columns["key"][run]
+    mark = (hashes << np.uint64(16)) ^ key * BASE
+    order = np.argsort(mark, kind="stable")
+    same = (mark[order][1:] == mark[order][:-1]) & (hashes[order][1:] == hashes[order][:-1]) & (key[order][1:] == key[order][:-1])
+    lead = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0)) if len(order) else order
+    lead_of = np.empty(len(order), np.int64)
+    lead_of[order] = order[lead]
+    doc, pos = columns["doc_id"][run], columns["pos"][run].astype(np.int64) + nth
+    hit = doc != doc[lead_of]
+    at, owner = np.flatnonzero(hit), lead_of[hit]
+    found = {"doc_id": doc[at], "pos": pos[at], "owner": doc[owner], "owner_pos": pos[owner]}
+    joins = np.zeros(len(at), bool)
+    joins[1:] = (run[at][1:] == run[at][:-1]) & (found["owner"][1:] == found["owner"][:-1]) & (np.diff(found["pos"]) == 1) & (np.diff(found["owner_pos"]) == 1)
+    first = np.flatnonzero(~joins)
+    requests = {k: v[first] for k, v in found.items()} | {"count": np.diff(np.append(first, len(at)))}
+    left = np.flatnonzero(~hit)
+    new = np.ones(len(left), bool)
+    new[1:] = (run[left][1:] != run[left][:-1]) | (np.diff(left) != 1)
+    first = np.flatnonzero(new)
+    rest = {"key": key[left][first], "doc_id": doc[left][first], "pos": pos[left][first], "count": np.diff(np.append(first, len(left))), "hashes": hashes[left]}
+    return requests, rest
+
+
+REQUESTS = pa.schema([(k, pa.int64()) for k in ("doc_id", "pos", "owner", "owner_pos", "count")])
+
+
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
 def bucketed_runs(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, blob) rows: the runs of a few MB of texts, dealt by key."""
-    group = 32 * SLICE_BYTES
+    """(bucket, blob, requests) rows: the runs of some MB of texts, dealt by key, and requests among those texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        common.give_back()
+        held, size, flushes = [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            columns = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
-            order = np.argsort(columns["key"], kind="stable")
-            columns = _picked(columns, order)
+            nonlocal flushes
+            found, columns = _hits(_joined(held))
+            held.clear()
+            columns = _picked(columns, np.argsort(columns["key"], kind="stable"))
             place = (columns["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             cuts = np.searchsorted(place, np.arange(buckets + 1, dtype=np.uint64))
             ends = np.concatenate([[0], np.cumsum(columns["count"], dtype=np.int64)])
-            names, blobs = [], []
+            names, blobs, flushes = [], [], flushes + 1
             for k in np.flatnonzero(np.diff(cuts)):
                 a, b = cuts[k], cuts[k + 1]
                 names.append(int(k))
                 blobs.append(_pack({n: v[ends[a] : ends[b]] if n == "hashes" else v[a:b] for n, v in columns.items()}))
-            held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            told = [None] * len(names)
+            for at in range(0, len(found["doc_id"]), 1 << 15):  # requests ride along, spread over the buckets
+                part = pa.RecordBatch.from_arrays([pa.array(found[k][at : at + (1 << 15)], pa.int64()) for k in REQUESTS.names], schema=REQUESTS)
+                names.append(hash((int(found["doc_id"][at]), at, flushes)) % buckets)
+                blobs.append(None)
+                told.append(zstandard.ZstdCompressor(level=1).compress(_ipc(part)))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary()), pa.array(told, pa.binary())], names=["bucket", "blob", "requests"])
 
         for batch in batches:
             for doc_ids, data, bounds in _texts(batch):
@@ -200,63 +248,69 @@ def bucketed_runs(docs: DataFrame, buckets: int) -> DataFrame:
                     runs["doc_id"] = doc_ids[runs.pop("text")]
                     held.append(runs)
                 size += len(data)
-                if size >= group and held:
+                if size >= GROUP_BYTES and held:
                     yield from flush()
                     size = 0
         if held:
             yield from flush()
+        common.give_back()
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(rows, "bucket int, blob binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(rows, "bucket int, blob binary, requests binary")
 
 
-def _requests(columns: dict[str, np.ndarray]) -> pd.DataFrame:
-    """Windows of one bucket that a smaller document holds: doc_id, pos, owner, owner_pos, count."""
-    order = np.argsort(columns["key"], kind="stable")
-    key, doc = columns["key"][order], columns["doc_id"][order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    starts = np.flatnonzero(new)
-    several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-    kept = _picked(columns, order[np.repeat(several, np.diff(np.append(starts, len(key))))])
-    count = kept["count"].astype(np.int64)
-    run = np.repeat(np.arange(len(count)), count)
-    key, doc = kept["key"][run], kept["doc_id"][run]
-    pos = kept["pos"][run].astype(np.int64) + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    order = np.lexsort((pos, doc, kept["hashes"], key))
-    key, doc, pos, run, hashes = key[order], doc[order], pos[order], run[order], kept["hashes"][order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (hashes[1:] != hashes[:-1])]) if len(key) else np.zeros(0, bool)
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    hit = doc != doc[lead]
-    found = {"doc_id": doc[hit], "pos": pos[hit], "owner": doc[lead][hit], "owner_pos": pos[lead][hit], "run": run[hit]}
-    order = np.lexsort((found["pos"], found["run"]))
-    found = {k: v[order] for k, v in found.items()}
-    joins = np.zeros(len(order), bool)
-    joins[1:] = (found["run"][1:] == found["run"][:-1]) & (found["owner"][1:] == found["owner"][:-1]) & (np.diff(found["pos"]) == 1) & (np.diff(found["owner_pos"]) == 1)
-    at = np.flatnonzero(~joins)
-    out = {k: found[k][at] for k in ("doc_id", "pos", "owner", "owner_pos")}
-    return pd.DataFrame(out | {"count": np.diff(np.append(at, len(order)))})
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests of one bucket. Whenever a million windows are held, only those of the smallest documents stay."""
+    held, windows = [], 0
+
+    def told(found: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found[k], pa.int64()) for k in REQUESTS.names], schema=REQUESTS)
+
+    for batch in batches:
+        for blob, requests in zip(batch.column(1), batch.column(2), strict=True):
+            if requests.is_valid:
+                yield from pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(requests.as_py()))
+                continue
+            held.append(_unpack(blob.as_py()))
+            windows += len(held[-1]["hashes"])
+            if windows >= BATCH_WINDOWS + len(held[0]["hashes"]):
+                found, rest = _hits(_joined(held))
+                held, windows = [rest], len(rest["hashes"])
+                yield told(found)
+    if held:
+        yield told(_hits(_joined(held))[0])
 
 
 def requests(docs: DataFrame, buckets: int) -> DataFrame:
-    """Passages to fetch, stored: doc_id, owner, first and end word in the owner."""
+    """Words that documents can share, stored: doc_id, owner, its chunk, first and end word in the owner, first word in the document."""
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(x) for x in group["blob"]]
-        return _requests({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _search(batches)
 
-    found = bucketed_runs(docs, buckets).groupBy("bucket").applyInPandas(search, "doc_id long, pos long, owner long, owner_pos long, count long")
-    merged = found.groupBy("doc_id", "owner", (F.col("pos") - F.col("owner_pos")).alias("shift"))
-    merged = merged.agg(F.min("owner_pos").alias("first"), F.max(F.col("owner_pos") + F.col("count") + WINDOW - 1).alias("end"))
-    return common.materialise(merged.select("doc_id", "owner", "first", "end"), "automaton-requests")
+    found = bucketed_runs(docs, buckets).groupBy("bucket").applyInArrow(search, ", ".join(f"`{k}` long" for k in REQUESTS.names))
+    merged = found.groupBy("doc_id", "owner", F.floor(F.col("owner_pos") / CHUNK_WORDS).alias("chunk"), (F.col("pos") - F.col("owner_pos")).alias("shift"))
+    merged = merged.agg(F.min("owner_pos").alias("first"), F.max(F.col("owner_pos") + F.col("count")).alias("end"))
+    chunk = F.explode(F.sequence("chunk", F.floor((F.col("end") - 1) / CHUNK_WORDS)))
+    cut = merged.select("doc_id", "owner", "shift", "first", "end", chunk.alias("chunk"))
+    first = F.greatest("first", F.col("chunk") * CHUNK_WORDS)
+    end = F.least("end", (F.col("chunk") + 1) * CHUNK_WORDS) + WINDOW - 1
+    return common.materialise(cut.select("doc_id", "owner", "chunk", first.alias("first"), end.alias("end"), (first + F.col("shift")).alias("at")), "automaton-requests")
 
 
 class SuffixAutomaton:
-    """All word sequences of some passages."""
+    """All word sequences of some passages, each with the smallest owner that holds it. Owners come in ascending order."""
 
     def __init__(self) -> None:
         self.next: list[dict] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length, self.owner = [-1], [0], [-1]
 
-    def add(self, words: list[bytes]) -> None:
+    def add(self, words: list[bytes], owner: int = 0) -> None:
         """Another passage; passages don't run into each other."""
         nexts, link, length, last = self.next, self.link, self.length, 0
         for word in words:
@@ -268,6 +322,7 @@ class SuffixAutomaton:
             nexts.append({})
             length.append(length[last] + 1)
             link.append(0)
+            self.owner.append(owner)
             at = last
             while at >= 0 and word not in nexts[at]:
                 nexts[at][word] = state
@@ -283,15 +338,20 @@ class SuffixAutomaton:
         nexts.append(dict(nexts[target]))
         length.append(length[at] + 1)
         link.append(link[target])
+        self.owner.append(self.owner[target])
         link[target] = copy
         while at >= 0 and nexts[at].get(word) == target:
             nexts[at][word] = copy
             at = link[at]
         return copy
 
-    def spans(self, words: list[bytes], least: int) -> list[tuple[int, int]]:
-        """Maximal spans covered by matches of `least` or more words, from the longest match that ends at each word."""
-        nexts, link, length = self.next, self.link, self.length
+    def spans(self, words: list[bytes], least: int, doc_id: int | None = None) -> list[tuple[int, int]]:
+        """Maximal spans covered by matches of `least` or more words, from the longest match that ends at each word.
+
+        With a doc_id, only matches count that an owner of smaller id holds; where the longest match has none, shorter
+        ones of `least` or more words, which are the states it links to, may.
+        """
+        nexts, link, length, owner = self.next, self.link, self.length, self.owner
         state = size = 0
         out: list[list[int]] = []
         for end, word in enumerate(words, 1):
@@ -300,62 +360,116 @@ class SuffixAutomaton:
                 size = length[state]
             if word in nexts[state]:
                 state, size = nexts[state][word], size + 1
-            if size >= least:
-                if out and end - size <= out[-1][1]:
-                    out[-1] = [min(out[-1][0], end - size), end]
+            if size < least:
+                continue
+            found, at = size, state
+            while doc_id is not None and found >= least and owner[at] >= doc_id:
+                at = link[at]
+                found = length[at]
+            if found >= least:
+                if out and end - found <= out[-1][1]:
+                    out[-1] = [min(out[-1][0], end - found), end]
                 else:
-                    out.append([end - size, end])
+                    out.append([end - found, end])
         return [(a, b) for a, b in out]
 
 
-def _passages(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and one passage of a smaller document, words joined by spaces."""
-    texts = common.maybe_in(docs, "doc_id", common.bounded_filter(wanted.select(F.col("owner").alias("doc_id")), "doc_id"))
-    joined = wanted.join(texts.select(F.col("doc_id").alias("owner"), F.col("text").cast("binary").alias("text")), "owner")
+def _islands(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping or touching (first, end) as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(parts):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _cut(texts: DataFrame, wanted: DataFrame, key: str, shard: str, first: str) -> DataFrame:
+    """The wanted words of each text: shard, key, tag (a hash of the text), at (first word), words joined by spaces."""
+    parts = wanted.groupBy(key, shard).agg(F.collect_set(F.struct(F.col(first).alias("first"), (F.col(first) + F.col("end") - F.col("first")).alias("end"))).alias("parts"))
+    parts = parts.groupBy(key).agg(F.collect_list(F.struct(shard, "parts")).alias("lists"))  # bounded by the document's words
+    some = common.maybe_in(texts, "doc_id", common.bounded_filter(wanted.select(F.col(key).alias("doc_id")), "doc_id"))
+    joined = some.select(F.col("doc_id").alias(key), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tag")).join(parts, key)
+    schema = pa.schema([("shard", pa.int64()), (key, pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("words", pa.binary())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                words, out = (batch.column(1)[k].as_py() or b"").split(), []
+                name, tag = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
+                for entry in batch.column(3)[k].as_py():
+                    out += [(entry[shard], name, tag, a, b" ".join(words[a:b])) for a, b in _islands([(p["first"], p["end"]) for p in entry["parts"]])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return joined.select(key, "text", "tag", "lists").mapInArrow(rows, f"shard long, `{key}` long, tag long, at long, words binary")
+
+
+def shared_spans(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, tag, first and end word of spans that smaller documents hold, stored; by streaming through automata."""
+    # a chunk's requests are cut down to its distinct parts before anything is counted or cut
+    held = common.materialise(wanted.groupBy("owner", "chunk", "first").agg(F.max("end").alias("end")), "automaton-held")
+    total = held.agg(F.sum(F.col("end") - F.col("first"))).first()[0] or 0
+    shards = max(1, -(-total // SHARD_WORDS))
+    shard = F.pmod(F.xxhash64("owner", "chunk"), F.lit(shards)).alias("shard")
+    asked = common.materialise(wanted.select("doc_id", shard, "at", "first", "end"), "automaton-asked")
+    loads = asked.groupBy("shard").agg(F.sum(F.col("end") - F.col("first")).alias("load"))
+    load = asked.agg(F.sum(F.col("end") - F.col("first"))).first()[0] or 0
+    share = max(SEGMENT_WORDS, load // common.HOT_KEYS)  # fewer than HOT_KEYS shards have more than one share
+    hot = common.materialise(loads.where(F.col("load") > share).select("shard", F.ceil(F.col("load") / share).alias("salts")), "automaton-hot")
+    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
+    passages = _cut(docs, held.select("owner", shard, "first", "end"), "owner", "shard", "first").join(F.broadcast(hot), "shard", "left")
+    passages = passages.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("owner").alias("doc_id"), "tag", "at", "words")
+    segments = _cut(docs, asked, "doc_id", "shard", "at").join(F.broadcast(hot), "shard", "left")
+    segments = segments.select("shard", F.pmod(F.xxhash64("doc_id"), salts).alias("salt"), F.lit(1).alias("kind"), "doc_id", "tag", "at", "words")
+    dealt = passages.unionByName(segments).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "doc_id")
+    schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "tag", "first", "end")])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, last = SuffixAutomaton(), None
         for batch in batches:
-            out, last, words = [], None, []
-            for text, first, end in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                text = text.as_py() or b""
-                if text is not last:
-                    last, words = text, text.split()
-                out.append(b" ".join(words[first:end]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "passage"])
+            out: list[tuple[int, int, int, int]] = []
+            for key, kind, doc_id, tag, at, words in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), *(batch.column(k).to_pylist() for k in range(2, 6)), batch.column(6), strict=True):
+                if key != last:
+                    automaton, last = SuffixAutomaton(), key
+                words = words.as_py().split(b" ")
+                if kind == 0:
+                    automaton.add(words, doc_id)
+                else:
+                    out += [(doc_id, tag, at + a, at + b) for a, b in automaton.spans(words, WINDOW, doc_id)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+        common.give_back()
 
-    return joined.select("doc_id", "text", "first", "end").mapInArrow(cut, "doc_id long, passage binary")
+    return common.materialise(dealt.mapInArrow(stream, "doc_id long, tag long, first long, end long"), "automaton-spans")
 
 
-def remove_repeats(docs: DataFrame, runs_in_bucket: int = 60_000, words_in_row: int = 500) -> DataFrame:
+def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by spaces) for every row of (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    buckets = max(64, docs.select("doc_id").count() * words_in_row // 5 // runs_in_bucket)
-    wanted = requests(docs, buckets)
-    passages = _passages(docs, wanted).groupBy("doc_id").agg(F.collect_set("passage").alias("passages"))
-    hit = common.bounded_filter(wanted, "doc_id")
-    text = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    shared = common.maybe_in(text, "doc_id", hit).join(passages, "doc_id", "left")
-    alone = common.maybe_in(text, "doc_id", hit, negate=True).withColumn("passages", F.lit(None).cast("array<binary>"))
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spans = shared_spans(docs, requests(docs, max(64, size // 6 // BUCKET_WORDS)))
+    hit = common.bounded_filter(spans, "doc_id")
+    text = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tag"))
+    lists = spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "end")).alias("spans"))  # bounded by the document's words
+    shared = common.maybe_in(text, "doc_id", hit).join(lists, ["doc_id", "tag"], "left").drop("tag")
+    alone = common.maybe_in(text, "doc_id", hit, negate=True).select("doc_id", "text", F.lit(None).cast("array<struct<first: long, end: long>>").alias("spans"))
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
-            for text, passages in zip(batch.column(1), batch.column(2), strict=True):
+            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = (text.as_py() or b"").split()
                 counts.append(len(words))
-                if passages.is_valid:
-                    automaton = SuffixAutomaton()
-                    for passage in sorted(passages.as_py()):
-                        automaton.add(passage.split(b" "))
-                    spans = automaton.spans(words, WINDOW)
-                    for a, b in reversed(spans):
-                        del words[a:b]
+                for a, b in reversed(_islands([(s["first"], s["end"]) for s in spans or ()])):
+                    del words[a:b]
                 removed.append(counts[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+        common.give_back()
 
     schema = "doc_id long, n_words long, n_removed long, kept binary"
-    return alone.mapInArrow(stream, schema).unionByName(shared.mapInArrow(stream, schema))
+    return alone.mapInArrow(remove, schema).unionByName(shared.mapInArrow(remove, schema))
 
 
 def op8(docs: DataFrame) -> DataFrame:

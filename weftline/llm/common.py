@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,16 @@ from pyspark.sql import functions as F
 
 #: Words of all contracts: maximal runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-BITMAP_BITS = 32768
+BITMAP_BITS, FILTER_BUCKETS, HOT_KEYS = 32768, 4096, 1000
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors see; where that is unset, a temporary one of a local master only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         base = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -48,31 +51,90 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget_tables() -> None:
-    """Delete the tables written so far. Call it once every result that reads them is stored."""
-    while _written:
-        spark, path = _written.pop()
+def forget_tables(since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written so far, but for the first `since` and the last `keep` ones.
+
+    A query's result reads such tables, so the caller deletes them once the result is stored; the pipeline does so
+    after each stage.
+    """
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for spark, path in gone:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bounded_filter(keys: DataFrame, key: str, buckets: int = 256) -> DataFrame:
-    """A one-hash Bloom filter over a column as at most `buckets` rows of 4 KiB bitmaps, whatever the number of keys."""
-    slot = F.pmod(F.xxhash64(F.lit("filter"), key), F.lit(buckets * BITMAP_BITS))
-    slots = keys.select(slot.alias("slot"))
-    return slots.groupBy((F.col("slot") / BITMAP_BITS).cast("long").alias("filter_bucket")).agg(F.bitmap_construct_agg(F.col("slot") % BITMAP_BITS).alias("filter_bits"))
+def tables_written() -> int:
+    return len(_written)
+
+
+def fresh(*names: str) -> list[str]:
+    """Column names that no table has."""
+    mark = uuid.uuid4().hex[:8]
+    return [f"{name}_{mark}" for name in names]
+
+
+@dataclass
+class BlockedFilter:
+    """A Bloom filter as rows (bucket, bits) of 4 KiB each; `rows` is None where so many keys outgrow the largest filter."""
+
+    rows: DataFrame | None
+    buckets: int
 
 
-def maybe_in(df: DataFrame, key: str, filter_: DataFrame, buckets: int = 256, negate: bool = False) -> DataFrame:
+def _slots(key: str, buckets: int) -> tuple[Column, list[Column]]:
+    """A key's bucket and its three places in the bucket's bits."""
+    places = F.xxhash64(F.lit("bits"), key)
+    return F.pmod(F.xxhash64(F.lit("filter"), key), F.lit(buckets)), [F.shiftright(places, 15 * k).bitwiseAND(F.lit(BITMAP_BITS - 1)) for k in range(3)]
+
+
+def bounded_filter(keys: DataFrame, key: str, most: int = FILTER_BUCKETS) -> BlockedFilter:
+    """A filter over a column of a stored table, sized by the number of its rows: ten bits each, 16 MiB at most.
+
+    About 2 % of other keys pass. Where there are more keys than 16 MiB serve with four bits each (33 million), a
+    filter would let nearly everything pass; none is built then, and all rows count as `maybe_in`.
+    """
+    n = keys.count()
+    buckets = max(1, min(most, -(-10 * n // BITMAP_BITS)))
+    if 4 * n > most * BITMAP_BITS:
+        return BlockedFilter(None, buckets)
+    bucket, places = _slots(key, buckets)
+    bits = keys.select(bucket.alias("bucket"), F.explode(F.array(*places)).alias("place"))
+    return BlockedFilter(bits.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")), buckets)
+
+
+def maybe_in(df: DataFrame, key: str, marks: BlockedFilter, negate: bool = False) -> DataFrame:
     """Rows whose key may be in the filter (no false negatives), or with `negate` the rows whose key is not in it.
 
-    The broadcast side has at most `buckets` rows of 4 KiB, 1 MiB by default, at any size of the input.
+    The broadcast side is the filter, at most 16 MiB at any size of the input. Columns of any names are left as they are.
+    """
+    if marks.rows is None:
+        return df.where(F.lit(not negate))
+    slot, bits = fresh("bucket", "bits")
+    bucket, places = _slots(key, marks.buckets)
+    joined = df.withColumn(slot, bucket).join(F.broadcast(marks.rows.toDF(slot, bits)), slot, "left")
+    test = F.lit(True)
+    for place in places:
+        byte = F.conv(F.hex(F.substring(F.col(bits), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        test = test & (F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    test = F.coalesce(test, F.lit(False))
+    return joined.where(~test if negate else test).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """Join many rows to one row for each key, whose column `count` says how many rows of `left` have it (`total` in all).
+
+    Fewer than `HOT_KEYS` keys can hold more than total / HOT_KEYS rows each. Their rows of `right` are broadcast, by that
+    bound, and all other keys meet in a shuffle in which none is hot. `right` must be stored and have narrow rows.
     """
-    slot = F.pmod(F.xxhash64(F.lit("filter"), key), F.lit(buckets * BITMAP_BITS))
-    probed = df.withColumn("filter_slot", slot).withColumn("filter_bucket", (F.col("filter_slot") / BITMAP_BITS).cast("long"))
-    joined = probed.join(F.broadcast(filter_), "filter_bucket", "left")
-    bit = F.expr("coalesce((cast(conv(hex(substring(filter_bits, cast(filter_slot % 32768 div 8 as int) + 1, 1)), 16, 10) as int) >> cast(filter_slot % 8 as int)) & 1, 0)")
-    return joined.where(bit == (0 if negate else 1)).select(*df.columns)
+    least = max(total // HOT_KEYS, 4096)
+    hot = F.broadcast(right.where(F.col(count) > least).drop(count))
+    mark = fresh("hot")[0]
+    probed = left.join(hot.withColumn(mark, F.lit(True)), key, "left")
+    names = [*left.columns, *(c for c in right.columns if c not in (key, count))]
+    found = probed.where(F.col(mark)).select(*names)
+    rest = probed.where(F.col(mark).isNull()).select(*left.columns)
+    return found.unionByName(rest.join(right.where(F.col(count) <= least).drop(count), key, how).select(*names))
 
 
 def text_or_empty(name: str = "text") -> Column:
