@@ -385,11 +385,15 @@ def _islands(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(texts: DataFrame, wanted: DataFrame, key: str, shard: str, first: str) -> DataFrame:
-    """The wanted words of each text: shard, key, tag (a hash of the text), at (first word), words joined by spaces."""
+def _cut(texts: DataFrame, wanted: DataFrame, keys: DataFrame, key: str, first: str) -> DataFrame:
+    """The wanted words of each text: shard, key, tag (a hash of the text), at (first word), words joined by spaces.
+
+    `keys` is a stored table whose column `key` has the ids of all these texts.
+    """
+    shard = "shard"
     parts = wanted.groupBy(key, shard).agg(F.collect_set(F.struct(F.col(first).alias("first"), (F.col(first) + F.col("end") - F.col("first")).alias("end"))).alias("parts"))
     parts = parts.groupBy(key).agg(F.collect_list(F.struct(shard, "parts")).alias("lists"))  # bounded by the document's words
-    some = common.maybe_in(texts, "doc_id", common.bounded_filter(wanted.select(F.col(key).alias("doc_id")), "doc_id"))
+    some = common.maybe_in(texts, "doc_id", common.bounded_filter(keys.select(F.col(key).alias("doc_id")), "doc_id"))
     joined = some.select(F.col("doc_id").alias(key), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tag")).join(parts, key)
     schema = pa.schema([("shard", pa.int64()), (key, pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("words", pa.binary())])
 
@@ -407,20 +411,19 @@ def _cut(texts: DataFrame, wanted: DataFrame, key: str, shard: str, first: str)
 
 def shared_spans(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, tag, first and end word of spans that smaller documents hold, stored; by streaming through automata."""
-    # a chunk's requests are cut down to its distinct parts before anything is counted or cut
-    held = common.materialise(wanted.groupBy("owner", "chunk", "first").agg(F.max("end").alias("end")), "automaton-held")
+    held = wanted.groupBy("owner", "chunk", "first").agg(F.max("end").alias("end"))  # a part that many ask for is counted and cut once
     total = held.agg(F.sum(F.col("end") - F.col("first"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
     shard = F.pmod(F.xxhash64("owner", "chunk"), F.lit(shards)).alias("shard")
-    asked = common.materialise(wanted.select("doc_id", shard, "at", "first", "end"), "automaton-asked")
+    asked = wanted.select("doc_id", shard, "at", "first", "end")
     loads = asked.groupBy("shard").agg(F.sum(F.col("end") - F.col("first")).alias("load"))
     load = asked.agg(F.sum(F.col("end") - F.col("first"))).first()[0] or 0
     share = max(SEGMENT_WORDS, load // common.HOT_KEYS)  # fewer than HOT_KEYS shards have more than one share
-    hot = common.materialise(loads.where(F.col("load") > share).select("shard", F.ceil(F.col("load") / share).alias("salts")), "automaton-hot")
+    hot = loads.where(F.col("load") > share).select("shard", F.ceil(F.col("load") / share).alias("salts"))
     salts = F.coalesce("salts", F.lit(1).cast("bigint"))
-    passages = _cut(docs, held.select("owner", shard, "first", "end"), "owner", "shard", "first").join(F.broadcast(hot), "shard", "left")
+    passages = _cut(docs, held.select("owner", shard, "first", "end"), wanted, "owner", "first").join(F.broadcast(hot), "shard", "left")
     passages = passages.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("owner").alias("doc_id"), "tag", "at", "words")
-    segments = _cut(docs, asked, "doc_id", "shard", "at").join(F.broadcast(hot), "shard", "left")
+    segments = _cut(docs, asked, wanted, "doc_id", "at").join(F.broadcast(hot), "shard", "left")
     segments = segments.select("shard", F.pmod(F.xxhash64("doc_id"), salts).alias("salt"), F.lit(1).alias("kind"), "doc_id", "tag", "at", "words")
     dealt = passages.unionByName(segments).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "doc_id")
     schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "tag", "first", "end")])
