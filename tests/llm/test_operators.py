@@ -356,3 +356,17 @@ def test_pipeline_edges(spark, docs, empty):
         assert pipeline.STAGES[-1][1](spark, left, "").count() >= 0
     once = common.materialise(pipeline.exact_dedup(spark, docs, ""), "edge")
     assert Counter(r.doc_id for r in once.collect())[12] == 1
+
+
+def test_lsm_levels_of_several_batches(docs, monkeypatch):
+    """Batches flushed and merged level by level give the rows of one batch; hot digests are salted."""
+    wanted = Counter(map(tuple, lsm_dedup.op5(docs).collect()))
+    monkeypatch.setattr(lsm_dedup, "SALT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 30)
+    batches = [docs.where(f"coalesce(doc_id, 0) % 4 = {k}") for k in range(4)]
+    assert Counter(map(tuple, lsm_dedup.dedup(docs, batches).collect())) == wanted
+    index = lsm_dedup.Index()
+    index.insert(docs)
+    index.insert(docs.where("doc_id = 4"))
+    assert [n for n, _ in index.levels] and len(index.levels) == 2
+    assert sum(r.rows for r in index.lookup("Two\nwords").collect()) == 2

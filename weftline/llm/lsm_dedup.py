@@ -2,17 +2,20 @@
 
 * Memtables: every scan partition holds the digests of its rows and flushes them as one run, sorted by digest, a
   Parquet file with minimum, maximum and a Bloom filter of the digest. Nothing is shuffled.
-* Compaction: runs merge into the next level, a row for each digest with the smallest identifier, (most code points,
-  smallest doc_id), and the number of rows. Partial aggregation leaves a row for each digest and task, so a group
-  with a third of all rows is no hot key.
-* Hits: rows that pass a filter over the digests of several rows (1 MiB at any size) and then match one exactly.
-* Verification: each hit's normalised bytes are compared with those of the row that its digest keeps. The kept rows
-  of large groups are dealt out under a salt for each `SALT_ROWS` members, and a member looks under one of them. Rows
-  that differ under an equal digest form groups of their own by their bytes.
-
-Edge cases: null texts count as empty and are equal to texts of white space only; among equal texts of equal length
-the smallest doc_id stays, null first; of repeated rows one stays; an empty table gives no rows; other columns are
-not read.
+* Compaction: the runs of a batch merge into a table with a row for each digest, the smallest identifier, (most code
+  points, smallest doc_id), and the number of rows; partial aggregation leaves a row for each digest and task, so a group
+  with a third of all rows is no hot key. A table that has grown to a `FAN`th of the level below merges into that
+  level, so a digest is rewritten a logarithmic number of times however many batches come.
+* Hits: rows that pass a filter over the digests of several rows and are then found in a level's sorted run.
+* Verification: each hit's normalised bytes are compared with those of the row that its digest keeps. Rows that differ
+  under an equal digest form groups of their own by their bytes.
+
+Hot digests: those with more than `SALT_ROWS` rows and a thousandth of all rows are fewer than 1,000, and are broadcast by
+that bound with a number of salts; every join on a digest is on its salt as well, so no task gets the whole of a group.
+
+Edge cases: null texts count as empty and are equal to texts of white space only; very long texts are digested whole;
+among equal texts of equal length the smallest doc_id stays, null first; of repeated rows one stays; an empty table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from weftline.llm import common
 
 SPACE = r"[\x20\x09-\x0D]+"
-SALT_ROWS = 1024
+SALT_ROWS, FAN = 1024, 4
 BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
@@ -42,44 +45,87 @@ def _best(*more: str) -> Column:
 
 
 def flush(docs: DataFrame) -> DataFrame:
-    """Level 0: a sorted run of (digest, doc_id, points) for each scan partition."""
+    """A batch's runs: (digest, doc_id, points), sorted by digest in each scan partition's file."""
     runs = _digested(docs).select("digest", "doc_id", "points").sortWithinPartitions("digest")
-    return common.materialise(runs, "lsm-level0", **BLOOM)
+    return common.materialise(runs, "lsm-runs", **BLOOM)
 
 
 def compact(runs: DataFrame) -> DataFrame:
-    """Level 1: digest, rows and the smallest identifier."""
+    """A sorted table of the runs: digest, rows and the smallest identifier."""
     merged = runs.groupBy("digest").agg(F.count("*").alias("rows"), _best().alias("best"))
-    return common.materialise(merged.sortWithinPartitions("digest"), "lsm-level1", **BLOOM)
+    return common.materialise(merged.sortWithinPartitions("digest"), "lsm-level", **BLOOM)
 
 
-def lookup(level: DataFrame, text: str) -> DataFrame:
-    """Rows of a level for one text: the digest is pushed down to the files' ranges and Bloom filters."""
-    digest = F.unhex(F.sha2(normalised(F.lit(text)), 256))
-    return level.where(F.col("digest") == digest)
+def merge(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two levels as one: counts add up, the smallest identifier stays."""
+    merged = one.unionByName(other).groupBy("digest").agg(F.sum("rows").alias("rows"), F.min("best").alias("best"))
+    return common.materialise(merged.sortWithinPartitions("digest"), "lsm-level", **BLOOM)
 
 
-def verify(docs: DataFrame, shared: DataFrame) -> DataFrame:
+class Index:
+    """Levels of sorted tables, the newest and smallest last, and the number of digests in each."""
+
+    def __init__(self) -> None:
+        self.levels: list[tuple[int, DataFrame]] = []
+
+    def insert(self, docs: DataFrame) -> None:
+        """Flush a batch's memtables and compact them; merge levels that have grown close to the ones below."""
+        level = compact(flush(docs))
+        size = level.count()
+        while self.levels and self.levels[-1][0] <= FAN * size:
+            level = merge(self.levels.pop()[1], level)
+            size = level.count()
+        self.levels.append((size, level))
+
+    def table(self) -> DataFrame:
+        """All levels as one table with a row for each digest."""
+        while len(self.levels) > 1:
+            (_, newer), (_, older) = self.levels.pop(), self.levels.pop()
+            level = merge(older, newer)
+            self.levels.append((level.count(), level))
+        return self.levels[0][1]
+
+    def lookup(self, text: str) -> DataFrame:
+        """Rows of all levels for one text: the digest is pushed down to the files' ranges and Bloom filters."""
+        digest = F.unhex(F.sha2(normalised(F.lit(text)), 256))
+        found = [level.where(F.col("digest") == digest) for _, level in self.levels]
+        out = found[0]
+        for level in found[1:]:
+            out = out.unionByName(level)
+        return out
+
+
+def _salted(rows: DataFrame, salts: Column) -> DataFrame:
+    """A row for each salt."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+
+
+def verify(docs: DataFrame, shared: DataFrame, total: int) -> DataFrame:
     """Hits of the digests in `shared` with `other`: null where a row's bytes equal its digest's kept row, else its bytes."""
-    shared = shared.select("digest", F.ceil(F.col("rows") / SALT_ROWS).alias("salts"), "best")
-    hits = common.maybe_in(_digested(docs), "digest", common.bounded_filter(shared, "digest")).join(shared, "digest")
-    hits = common.materialise(hits.withColumn("row", F.monotonically_increasing_id()), "lsm-hits")
+    least = max(SALT_ROWS, total // common.HOT_KEYS)
+    salts = F.when(F.col("rows") > least, F.ceil(F.col("rows") / SALT_ROWS)).otherwise(1)
+    hot = F.broadcast(shared.where(F.col("rows") > least).select("digest", salts.alias("salts")))
+    rows = common.maybe_in(_digested(docs), "digest", common.bounded_filter(shared, "digest")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.join(hot, "digest", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("bigint")))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), "salts"))
+    hits = common.materialise(rows.join(_salted(shared.select("digest", "best", "rows"), salts).drop("rows"), ["digest", "salt"]), "lsm-hits")
     kept = hits.where((-F.col("points") == F.col("best.fewer")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
-    kept = kept.groupBy("digest", "salts").agg(F.min("norm").alias("kept_norm"))
-    kept = kept.select("digest", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), "kept_norm")
-    salted = hits.withColumn("salt", F.pmod(F.xxhash64("row"), "salts"))
+    kept = _salted(kept.groupBy("digest", "salts").agg(F.min("norm").alias("kept_norm")), F.col("salts")).drop("salts")
     other = F.when(F.col("norm") != F.col("kept_norm"), F.col("norm"))
-    return common.materialise(salted.join(kept, ["digest", "salt"]).select("digest", "doc_id", "points", "row", other.alias("other")), "lsm-verified")
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
-    runs = flush(docs)
-    level = compact(runs)
-    shared = level.where("rows > 1")
-    hits = verify(docs, shared)
-    groups = hits.groupBy("digest", "other").agg(F.count("*").alias("group_size"), _best("row").alias("keep"))
-    same = hits.join(groups.withColumnsRenamed({"digest": "group_digest", "other": "group_other"}), (F.col("digest") == F.col("group_digest")) & F.col("other").eqNullSafe(F.col("group_other")))
+    return common.materialise(hits.join(kept, ["digest", "salt"]).select("digest", "salt", "salts", "doc_id", "points", "row", other.alias("other")), "lsm-verified")
+
+
+def dedup(docs: DataFrame, batches: list[DataFrame] | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row; `batches`, if given, are the parts of `docs` as they came."""
+    index = Index()
+    for batch in batches or [docs]:
+        index.insert(batch)
+    level = index.table()
+    total = level.agg(F.sum("rows")).first()[0] or 0
+    hits = verify(docs, level.where("rows > 1"), total)
+    groups = hits.groupBy("digest", "salts", "other").agg(F.count("*").alias("group_size"), _best("row").alias("keep"))
+    groups = _salted(groups, F.col("salts")).select(F.col("digest").alias("group_digest"), F.col("salt").alias("group_salt"), F.col("other").alias("group_other"), "group_size", "keep")
+    same = hits.join(groups, (F.col("digest") == F.col("group_digest")) & (F.col("salt") == F.col("group_salt")) & F.col("other").eqNullSafe(F.col("group_other")))
     several = same.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     single = level.where("rows = 1").select(F.col("best.doc_id").alias("doc_id"), F.col("best.doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     return single.unionByName(several)

@@ -7,10 +7,12 @@ together, level by level, differing bits are added up, and a pair is dropped onc
 more than `SPLIT` classes are dealt once more by the 12-bit parts of the other 48 bits, of which one must agree as
 well; this loses no pair. All links are followed, but a task hands on a spanning forest of them, at most a row for
 each class it saw, so dense groups don't make quadratically many rows. Components come from rounds of large-star and
-small-star contraction; each round is stored in the shared folder.
+small-star contraction; each round is stored in the shared folder. Joins on a hub, a root or a fingerprint take the rows of
+hot keys, fewer than 1,000, from a broadcast table (`common.join_hot`).
 
 Edge cases: null and empty texts have fingerprint zero and link like others; fewer words than a shingle form one
-shingle; equal doc_ids are rows of their own; a null doc_id doesn't count as smallest while another is reachable.
+shingle; very long texts are hashed whole; repeated rows and equal doc_ids are rows of their own; a null doc_id doesn't
+count as smallest while another is reachable; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -139,9 +141,9 @@ def links(classes: DataFrame, split: int = SPLIT) -> DataFrame:
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets come in order; whole ones are walked many at a time, parts of a split one each on its own."""
         held: list[tuple[int, int, np.ndarray]] = []
-        trees = Forest()
 
         def walk() -> Iterator[pa.RecordBatch]:
+            trees = Forest()  # of the buckets held; links are told once for each such batch of buckets at most
             for block in {b for b, _, _ in held}:
                 for sub in {s for b, s, _ in held if b == block}:
                     fps = np.concatenate([f for b, s, f in held if (b, s) == (block, sub)])
@@ -172,35 +174,40 @@ def links(classes: DataFrame, split: int = SPLIT) -> DataFrame:
     return dealt.mapInArrow(forest, "a long, b long")
 
 
+def _least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (a, b) with m, the least b of each a."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    return common.join_hot(edges, least, "a", "n", total)
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) of every node of the edges (a, b): alternating large-star and small-star until nothing changes."""
     edges = common.materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "star-0")
-    state = None
+    state, total = None, edges.count()
     for k in range(rounds):
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _least(edges.union(edges.select("b", "a")), 2 * total).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = large.where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = _least(large, total)
         small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = common.materialise(small.where("a != b").distinct(), f"star-{k + 1}")
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
-        state = now
+        state, total = now, now[0]
     raise RuntimeError(f"components aren't complete after {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp and component_id for every row."""
     rows = common.materialise(fingerprints(docs, shingle), "simhash-rows")
-    classes = common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    classes = common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
     roots = components(links(classes))
-    placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = common.materialise(placed.join(smallest, "root").select("fp", "component_id"), "simhash-placed")
-    return rows.join(placed, "fp")
+    placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    placed = common.materialise(placed, "simhash-placed")
+    smallest = common.materialise(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"), F.sum("n").alias("n")), "simhash-components")
+    found, rows_in_all = smallest.agg(F.sum("classes"), F.sum("n")).first()
+    named = common.join_hot(placed, smallest.drop("n"), "root", "classes", found or 0)
+    return common.join_hot(rows, common.materialise(named.select("fp", "component_id", "n"), "simhash-named"), "fp", "n", rows_in_all or 0)
 
 
 def op10(docs: DataFrame) -> DataFrame:
