@@ -370,3 +370,50 @@ def test_lsm_levels_of_several_batches(docs, monkeypatch):
     index.insert(docs.where("doc_id = 4"))
     assert [n for n, _ in index.levels] and len(index.levels) == 2
     assert sum(r.rows for r in index.lookup("Two\nwords").collect()) == 2
+
+
+def test_pipeline_pieces_hold_every_document_the_mix_took(spark):
+    import corpus_pipeline as pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), f"test-{name}")
+    copies, tokens = Counter(r.doc_id for r in docs.collect()), Counter()
+    pieces = pipeline.run(spark, sf_dir).collect()
+    for p in pieces:
+        tokens[p.doc_id] += p.length
+    assert set(tokens) == set(copies)
+    assert all(tokens[p.doc_id] == copies[p.doc_id] * p.doc_tokens for p in pieces)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_copies_in_chains(spark, monkeypatch, small):
+    """Chains in which only neighbours are alike: the comparison with smallest rows leaves parts that blocks must join."""
+    from weftline.llm import jaccard
+
+    if small:
+        monkeypatch.setattr(jaccard, "BLOCK", 2)
+        monkeypatch.setattr(jaccard, "SHARE", 3)
+        monkeypatch.setattr(common, "HOT_KEYS", 2)
+    rng = random.Random(4)
+    rows, key = [], 0
+    for _ in range(3):
+        words = [f"w{rng.randrange(9000)}" for _ in range(150)]
+        for _ in range(25):
+            for at in rng.sample(range(150), 2):
+                words[at] = f"x{rng.randrange(9000)}"
+            rows.append((key, rng.choice([None, rng.randrange(1000)]), " ".join(words)))
+            key += 1
+    rows += [(key + k, 5, t) for k, t in enumerate(["", None, " ", "a b", "A  b", rows[7][2].upper(), rows[7][2]])]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for w in ((t or "").lower().split() for _, _, t in rows)]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    stays = {min((rows[k][1] is None, rows[k][1] or 0, rows[k][0]) for k in range(len(rows)) if root[k] == r)[2] for r in set(root)}
+    stored = common.materialise(spark.createDataFrame(rows, "rowkey long, doc_id long, text string").repartition(3), "test-chains")
+    gone = [r.rowkey for r in jaccard.surplus(stored, "rowkey").collect()]
+    assert 3 < len(stays) < len(rows) - 5
+    assert sorted(gone) == sorted({r[0] for r in rows} - stays)

@@ -1,13 +1,19 @@
-"""Near copies by exact Jaccard similarity of word shingles, candidates from MinHash bands.
-
-Two rows are linked if at least `LEAST` of the distinct shingles of both are shared. A row has `BANDS` bands of `DEPTH`
-minima each; rows that agree in a band are candidates, and a pair at 0.8 agrees in none with a chance of 5 in 100,000, less above
-that. Components of candidates are found from a link of each row to the smallest row of each of its bands, so their
-rows grow with the input only. Each component's texts then meet in one task, which compares the shingles of all
-candidate pairs that aren't linked through others already; a pair below `LEAST` links nothing.
-
-Edge cases: fewer words than a shingle form one shingle; null and empty texts have none and are alike; rows are told
-apart by their key, so null and repeated doc_ids are rows of their own; a null doc_id stays only where no other does.
+"""Near copies: rows that share at least `LEAST` of the distinct five-word shingles of both, by SimHash and MinHash.
+
+Candidates come from the trie self-join of 64-bit fingerprints (simhash_trie.links) and, as rows at 0.8 differ in about ten
+bits, from `BANDS` bands of `DEPTH` minima each; a pair at 0.8 agrees in no band with a chance of 5 in 100,000, less above
+that. Only an exact comparison of the shingles links rows:
+
+1. Rows of equal shingle sets are a class; its row of smallest key stands for it from here on.
+2. Each candidate is compared with the smallest row of each of its bands and of its fingerprint's links, so candidates
+   grow with the input only. The smallest row goes under as many salts as its candidates need.
+3. What is still in different components, though linked by candidates, is compared in blocks: rows outside a
+   component's largest part, `BLOCK` at a time, against all its rows, of which each task streams a share. A task holds one
+   block's shingles, and hands on links that join two parts only.
+
+Edge cases: fewer words than a shingle form one shingle; null and empty texts have none and are alike; very long texts
+are compared whole; rows are told apart by their key, so null, repeated and equal rows are rows of their own; a null
+doc_id stays only where no other does; an empty table gives no rows; only the key, doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from weftline.llm import common, simhash_trie
 
 SHINGLE, LEAST = 5, (4, 5)
 BANDS, DEPTH = 25, 5
-CHUNK = 4096
+CHUNK, BLOCK, SHARE = 4096, 256, 1024
 _MIX = np.random.default_rng(42).integers(0, 1 << 64, (3, BANDS * DEPTH), np.uint64) | np.uint64(1)
 
 
@@ -44,82 +50,141 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def banded(rows: DataFrame, key: str) -> DataFrame:
-    """The key and bands of every row."""
+def sketched(rows: DataFrame, key: str) -> DataFrame:
+    """The key of every row, a digest of its shingle set, its fingerprint over shingles and its bands."""
+    schema = pa.schema([(key, pa.int64()), ("digest", pa.binary()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
             for part, texts in common.text_slices(batch, 1):
-                found = [bands(shingles(x)) for x in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=[key, "bands"])
+                hashes = [simhash_trie.shingle_hashes(x, SHINGLE) for x in texts]
+                sets = [np.unique(x.astype(np.uint64)) for x in hashes]
+                prints = np.array([simhash_trie.fingerprint(x) for x in hashes], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(prints), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], schema=schema)
         common.give_back()
 
-    return rows.select(key, F.col("text").cast("binary").alias("text")).mapInArrow(told, f"{key} long, bands array<long>")
+    return rows.select(key, F.col("text").cast("binary").alias("text")).mapInArrow(told, f"`{key}` long, digest binary, fp long, bands array<long>")
 
 
-def alike(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Which of the others share enough with one set of hashes."""
-    sizes = np.array([len(x) for x in others])
+def alike(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sorted sets of hashes share enough."""
     part, whole = LEAST
-    out = np.minimum(sizes, len(one)) * whole >= np.maximum(sizes, len(one)) * part
+    if min(len(one), len(other)) * whole < max(len(one), len(other)) * part:
+        return False
     if not len(one):
-        return out
-    close = np.flatnonzero(out)
-    for at in range(0, len(close), CHUNK):
-        some = close[at : at + CHUNK]
-        flat = np.concatenate([others[k] for k in some])
-        hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
-        shared = np.add.reduceat(hit, np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
-        out[some] = shared * whole >= (sizes[some] + len(one) - shared) * part
-    return out
-
-
-def linked(sets: list[np.ndarray], buckets: list[np.ndarray]) -> list[int]:
-    """A root for each set: every pair within a bucket is compared unless both have the same root by then."""
-    trees = simhash_trie.Forest()
-    roots = lambda places: np.array([trees.root(k) for k in places.tolist()])
-
-    def meet(one: int, places: np.ndarray) -> None:
-        others = places[roots(places) != trees.root(one)]
-        if len(others):
-            for k in others[alike(sets[one], [sets[j] for j in others])].tolist():
-                trees.joins(one, k)
-
-    for places in buckets:
-        meet(int(places[0]), places)
-    for places in buckets:
-        found, count = np.unique(roots(places), return_counts=True)
-        if len(found) > 1:
-            for one in places[roots(places) != found[count.argmax()]].tolist():
-                meet(one, places)
-    return [trees.root(k) for k in range(len(sets))]
+        return True
+    shared = int((one[np.minimum(np.searchsorted(one, other), len(one) - 1)] == other).sum())
+    return shared * whole >= (len(one) + len(other) - shared) * part
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(head, key) pairs of classes (key, fp, bands) that may be alike, the head the smaller key; stored."""
+    prints = common.materialise(classes.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n")), "near-prints")
+    total = classes.count()
+    equal = common.join_hot(classes.select("fp", "key"), prints, "fp", "n", total).select("head", "key")
+    near = common.materialise(simhash_trie.links(prints.select("fp")), "near-trie")
+    for side in ("a", "b"):
+        named = near.groupBy(side).agg(F.count("*").alias("n")).join(prints.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head")), side)
+        near = common.join_hot(near, named, side, "n", near.count())
+    near = near.select(F.least("a_head", "b_head").alias("head"), F.greatest("a_head", "b_head").alias("key"))
+    dealt = classes.select("key", F.explode("bands").alias("band"))
+    heads = common.materialise(dealt.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1"), "near-bands")
+    banded = common.join_hot(dealt, heads, "band", "n", total * BANDS).select("head", "key")
+    return common.materialise(equal.union(near).union(banded).where("head != key").distinct(), "near-candidates")
+
+
+def _dealt(cells: DataFrame, groups: list[str]) -> DataFrame:
+    """Rows of a cell in one task, by kind."""
+    return cells.repartition(*groups).sortWithinPartitions(*groups, "kind")
+
+
+def compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (head, key) that are alike, stored. `texts` has key and text."""
+    counts = pairs.groupBy("head").agg(F.count("*").alias("n"))
+    share = max(SHARE, pairs.count() // common.HOT_KEYS)
+    hot = F.broadcast(counts.where(F.col("n") > share).select("head", F.ceil(F.col("n") / share).alias("salts")))  # fewer than HOT_KEYS rows
+    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
+    one = counts.select("head").join(hot, "head", "left").join(texts.withColumnRenamed("key", "head"), "head")
+    one = one.select("head", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("head").alias("key"), "text")
+    others = pairs.join(hot, "head", "left").join(texts, "key").select("head", F.pmod(F.xxhash64("key"), salts).alias("salt"), F.lit(1).alias("kind"), "key", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            out = []
+            for head, kind, key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                found = shingles(text.as_py() or b"")
+                if kind == 0:
+                    last, held = head, found
+                elif head == last and alike(held, found):
+                    out.append((head, key))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+        common.give_back()
+
+    return common.materialise(_dealt(one.unionByName(others), ["head", "salt"]).mapInArrow(compare, "a long, b long"), "near-links")
+
+
+def left_over(texts: DataFrame, classes: DataFrame, pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Links between parts of a candidate component that the comparison with smallest rows left apart."""
+    parts = common.materialise(simhash_trie.components(linked), "near-parts")
+    groups = common.materialise(simhash_trie.components(pairs.select(F.col("head").alias("a"), F.col("key").alias("b"))), "near-groups")
+    rows = groups.select(F.col("node").alias("key"), F.col("root").alias("group")).join(parts.select(F.col("node").alias("key"), F.col("root").alias("part")), "key", "left")
+    rows = common.materialise(rows.select("key", "group", F.coalesce("part", "key").alias("part")), "near-rows")
+    sizes = rows.groupBy("group", "part").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("part", "n").alias("major"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    sizes = common.materialise(sizes.where("most < n AND n > 2"), "near-sizes")  # two rows have been compared
+    cells = F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("most")) / BLOCK)).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("n") / SHARE)).alias("salts")
+    open_ = common.join_hot(rows, sizes.select("group", "major", *cells, "n"), "group", "n", rows.count())
+    open_ = common.materialise(open_, "near-open")
+    marks = common.bounded_filter(open_, "key")
+    full = open_.join(common.maybe_in(texts, "key", marks), "key").join(common.maybe_in(classes.select("key", "bands"), "key", marks), "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
+    minor = full.where("part != major").withColumn("salt", every("salts")).withColumn("block", place("blocks")).withColumn("kind", F.lit(0))
+    stream = full.withColumn("block", every("blocks")).withColumn("salt", place("salts")).withColumn("kind", F.lit(1))
+    dealt = _dealt(minor.unionByName(stream).select("group", "block", "salt", "kind", "key", "part", "text", "bands"), ["group", "block", "salt"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, trees = None, [], simhash_trie.Forest()
+        for batch in batches:
+            out = []
+            for group, block, salt, kind, key, part, text, band in zip(*(batch.column(k).to_pylist() for k in range(6)), batch.column(6), batch.column(7), strict=True):
+                if (group, block, salt) != last:
+                    last, held, trees = (group, block, salt), [], simhash_trie.Forest()
+                found, band = shingles(text.as_py() or b""), np.array(band.as_py(), np.int64)
+                if kind == 0:
+                    held.append((key, part, found, band))
+                    continue
+                for other, its_part, its_set, its_band in held:
+                    if trees.root(its_part) != trees.root(part) and (its_band == band).any() and alike(its_set, found):
+                        trees.joins(its_part, part)
+                        out.append((other, key))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+        common.give_back()
+
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def surplus(rows: DataFrame, key: str) -> DataFrame:
     """Keys of the rows that go: all but the smallest doc_id, then key, of each component. `rows` must be stored."""
-    told = common.materialise(banded(rows, key), "jaccard-bands")
-    dealt = told.select(key, F.explode("bands").alias("band"))
-    heads = dealt.groupBy("band").agg(F.min(key).alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    edges = dealt.join(heads, "band").where(F.col(key) != F.col("head")).select(F.col(key).alias("a"), F.col("head").alias("b"))
-    roots = common.materialise(simhash_trie.components(edges).select(F.col("node").alias(key), "root"), "jaccard-roots")
-    some = common.bounded_filter(roots, key)
-    texts = common.maybe_in(rows.select(key, "doc_id", F.col("text").cast("binary").alias("text")), key, some)
-    met = texts.join(roots.hint("merge"), key).join(common.maybe_in(told, key, some).hint("merge"), key)
-
-    def extra(table: pa.Table) -> pa.Table:
-        keys, ids = table.column(0).to_pylist(), table.column(1).to_pylist()
-        sets = [shingles(x.as_py() or b"") for x in table.column(2)]
-        flat = np.array(table.column(4).combine_chunks().flatten()).reshape(-1, BANDS)
-        buckets = []
-        for band in flat.T:
-            order = np.argsort(band, kind="stable")
-            cuts = np.flatnonzero(np.diff(band[order])) + 1
-            buckets += [places for places in np.split(order, cuts) if len(places) > 1]
-        best: dict[int, tuple] = {}
-        root = linked(sets, buckets)
-        ranks = [(doc_id is None, doc_id or 0, k) for doc_id, k in zip(ids, keys, strict=True)]
-        for at, rank in zip(root, ranks, strict=True):
-            best[at] = min(best.get(at, rank), rank)
-        return pa.table({key: pa.array([k for k, at, rank in zip(keys, root, ranks, strict=True) if best[at] != rank], pa.int64())})
-
-    return met.select(key, "doc_id", "text", "root", "bands").groupBy("root").applyInArrow(extra, f"{key} long")
+    rows = rows.select(F.col(key).alias("key"), "doc_id", F.col("text").cast("binary").alias("text"))
+    told = common.materialise(sketched(rows, "key"), "near-sketches")
+    classes = told.groupBy("digest").agg(F.min(F.struct("key", "fp", "bands")).alias("rep"), F.count("*").alias("n"))
+    classes = common.materialise(classes.select("digest", F.col("rep.key").alias("head"), F.col("rep.fp").alias("fp"), F.col("rep.bands").alias("bands"), "n"), "near-classes")
+    same = common.join_hot(told.select("digest", "key"), classes.select("digest", "head", "n"), "digest", "n", told.count())
+    same = same.where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    heads = classes.select(F.col("head").alias("key"), "fp", "bands")
+    pairs = candidates(heads)
+    marks = common.bounded_filter(pairs.select(F.explode(F.array("head", "key")).alias("key")), "key")
+    texts = common.maybe_in(rows.select("key", "text"), "key", marks)
+    linked = compared(texts, pairs)
+    found = linked.union(left_over(texts, heads, pairs, linked)).union(same)
+    roots = common.materialise(simhash_trie.components(found).select(F.col("node").alias("key"), "root"), "near-roots")
+    marks = common.bounded_filter(roots, "key")
+    placed = common.materialise(common.maybe_in(rows.select("key", "doc_id"), "key", marks).join(roots, "key"), "near-placed")
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"), F.count("*").alias("n"))
+    gone = common.join_hot(placed, best.select("root", F.col("best.key").alias("stays"), "n"), "root", "n", placed.count())
+    return gone.where("key != stays").select(F.col("key").alias(key))
