@@ -417,3 +417,151 @@ def test_near_copies_in_chains(spark, monkeypatch, small):
     gone = [r.rowkey for r in jaccard.surplus(stored, "rowkey").collect()]
     assert 3 < len(stays) < len(rows) - 5
     assert sorted(gone) == sorted({r[0] for r in rows} - stays)
+
+
+def _tiff_by_hand(data):
+    """Grey 8-bit pages of a little-endian file, read plainly: (width, rows of bytes) for each directory."""
+    number = lambda at, size: int.from_bytes(data[at : at + size], "little")
+    at, pages = number(4, 4), []
+    while at:
+        tags = {}
+        for k in range(number(at, 2)):
+            entry = at + 2 + 12 * k
+            size, count = {3: 2, 4: 4}[number(entry + 2, 2)], number(entry + 4, 4)
+            place = entry + 8 if size * count <= 4 else number(entry + 8, 4)
+            tags[number(entry, 2)] = [number(place + size * j, size) for j in range(count)]
+        at = number(at + 2 + 12 * number(at, 2), 4)
+        width, height, how = tags[256][0], tags[257][0], tags[259][0]
+        tiled = 322 in tags
+        wide, tall = (tags[322][0], tags[323][0]) if tiled else (width, tags[278][0])
+        rows = [bytearray(width) for _ in range(height)]
+        for k, (place, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279])):
+            y, x = k // -(-width // wide) * tall, k % -(-width // wide) * wide
+            raw = data[place : place + size]
+            if how == 8:
+                raw = zlib.decompress(raw)
+            elif how == 32773:
+                out, j = b"", 0
+                while j < len(raw):
+                    n = raw[j] - 256 if raw[j] > 127 else raw[j]
+                    out, j = (out + raw[j + 1 : j + 2 + n], j + 2 + n) if n >= 0 else (out + raw[j + 1 : j + 2] * (1 - n), j + 2)
+                raw = out
+            elif how == 5:
+                bits, out, table, last, j, width_ = int.from_bytes(raw, "big"), b"", {}, None, 0, 9
+                while True:
+                    code = bits >> (8 * len(raw) - j - width_) & (1 << width_) - 1
+                    j += width_
+                    if code == 257:
+                        break
+                    if code == 256:
+                        table, last, width_ = {k: bytes([k]) for k in range(256)} | {256: None, 257: None}, None, 9
+                        continue
+                    entry = table[code] if code in table else last + last[:1]
+                    out += entry
+                    if last is not None:
+                        table[len(table)] = last + entry[:1]
+                    width_ = max(9, (len(table) + 1).bit_length())
+                    last = entry
+                raw = out
+            for j in range(min(tall, height - y)):
+                line = bytearray(raw[j * wide : (j + 1) * wide])
+                if tags[317][0] == 2:
+                    for i in range(1, len(line)):
+                        line[i] = (line[i] + line[i - 1]) % 256
+                rows[y + j][x : x + wide] = line[: width - x]
+        pages.append((width, [bytes(r) for r in rows]))
+    return pages
+
+
+def test_op2_media(docs):
+    """The stored files hold the payloads, read by another reader; features are worked out again from its pages."""
+    files = {r.media: r for r in tiff.encode_media(docs).collect()}
+    by_sha = {hashlib.sha256(bytes(m)).hexdigest(): bytes(m) for m in files}
+    seen = Counter()
+    for r in tiff.op2(docs).collect():
+        media = by_sha[r.media_sha256]
+        pages = _tiff_by_hand(media)
+        payload = b"".join(line for _, rows in pages for line in rows)
+        assert r.media_bytes == len(media) and r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        edges = sum(a != b for _, rows in pages for line in rows for a, b in zip(line, line[1:]))
+        bins = Counter(x >> 5 for x in payload)
+        assert r.feature == f"{len(pages)}p 64x{len(payload) // 64} mean {sum(payload) * 1000 // len(payload)} edges {edges} hist {'/'.join(str(bins[k]) for k in range(8))}"
+        seen[zlib.crc32(payload) & 3] += 1
+    assert set(seen) == {0, 1, 2, 3}
+
+
+def test_damaged_files_are_rows(spark):
+    good = tiff.payload_tiff(b"x" * 64)
+    files = [(1, bytearray(good)), (2, bytearray(good[:40])), (3, None), (4, bytearray(b"II*\0\xff\xff\xff\xff"))]
+    table = spark.createDataFrame(files, "name long, media binary")
+    got = {r.name: (r.error is None, r.pixels is not None) for r in tiff.read_pages(table, "name", "media").collect()}
+    assert got == {1: (True, True), 2: (False, False), 3: (False, False), 4: (False, False)}
+
+
+def test_op6_base_spans(spark):
+    """Counts and digests of base spans by the patterns alone, place by place."""
+    import re
+
+    texts = [t for _, t, *_ in ROWS] + [
+        "password=abc token: 'xyz123+/=' é secret = short5 api-key=nope apikey=\"A.b-c_9\"",
+        "AKIA" + "B7" * 8 + " AKIAshort xAKIA" + "C" * 20 + " 0123456789abcdef01234567 0123456789ABCDEF01234567 deadbeef",
+        "Token:deadbeefdeadbeefdeadbeef TOKEN=" + "f" * 5000,
+        "secret:password=hunter222",
+    ]
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    wanted = {}
+    for k, text in enumerate(texts):
+        text, found = text or "", []
+        for kind, pattern, least in ((0, assign, 6), (1, re.compile("AKIA[A-Z0-9]+"), 20), (2, re.compile("[0-9a-f]+"), 24)):
+            at = 0
+            while m := pattern.search(text, at):
+                at = m.end()
+                if len(m[2] if kind == 0 else m[0]) >= least:
+                    found.append((m.start(), kind, m.end()))
+        told = ",".join(f"{('assign', 'access', 'hex')[kind]}:{a}:{b}" for a, kind, b in sorted(found))
+        wanted[k] = (*(sum(f[1] == kind for f in found) for kind in range(3)), hashlib.sha256(told.encode()).hexdigest())
+    got = secrets_dp.op6(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got} == wanted
+    assert sum(w[0] + w[1] + w[2] for w in wanted.values()) > 6
+    for r in got:
+        kinds = [s.split(":")[0] for s in r.spans.split(",") if s]
+        assert [kinds.count(k) for k in ("assign", "access", "hex")] == [r.n_assign, r.n_access, r.n_hex]
+
+
+def test_op7_targets_and_sums(spark):
+    """Targets by bisection on the level that fills them, not by rounds; documents over 65,536 words."""
+    lengths = {"a": [70_000] * 4, "b": [300_000, 310_000, 20], "c": [3] * 40, None: [100_000]}
+    rows = [(100 * j + k, "w " * n, s) for j, (s, ns) in enumerate(lengths.items()) for k, n in enumerate(ns)]
+    got = knapsack_mix.op7(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    sizes, weight = [sum(ns) for ns in lengths.values()], [1, 2, 3, 1]
+    low, high = 0.0, float(10 * sum(sizes))
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(3 * n, w * mid) for n, w in zip(sizes, weight)) < sum(sizes) else (low, mid)
+    for (source, ns), n, w in zip(lengths.items(), sizes, weight):
+        mine = [r for r in got if {"a": 0, "b": 1, "c": 2, None: 3}[source] == r.doc_id // 100]
+        target = min(3 * n, w * low)
+        assert all(r.source_size == n and r.target == pytest.approx(target) for r in mine)
+        rest = target - target // n * n
+        sums = {0}
+        for x in ns:
+            sums |= {s + x for s in sums}
+        assert abs(sum(r.taken for r in mine) - target) <= min(abs(s - rest) for s in sums) + 1
+
+
+CLASHES = ["quality_score", "filter_slot", "filter_bits", "filter_bucket", "marked_id", "marked_kept", "mixed_id", "mix_copies", "key", "head", "band", "root", "copies", "kept", "digest", "fp"]
+
+
+def test_pipeline_keeps_clashing_columns(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(k, " ".join(f"the of and to {k % 7} word{j}" for j in range(30 + k % 7)), "en", "s", 0, *(f"{c} {k}" for c in CLASHES)) for k in range(21)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    wanted = {r[0]: r for r in rows}
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, ""), f"clash-{name}")
+        got = docs.collect()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+        assert got and all(tuple(r) == wanted[r.doc_id] for r in got)
+    assert pipeline.STAGES[-1][1](spark, docs, "").count() > 0

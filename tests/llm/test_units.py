@@ -231,3 +231,165 @@ def test_word_hashes_equal_words_only():
 
 def test_crc_of_ids_is_unsigned():
     assert zlib.crc32(np.array([1], "<u4").tobytes()) >= 0
+
+
+@given(st.sampled_from([0, 1, 2, 3, 7, 40]), st.lists(st.tuples(st.integers(0, 4000), st.integers(0, 255)), min_size=1, max_size=6), st.integers(0, 4000))
+@settings(max_examples=300, deadline=None)
+def test_damaged_tiff_never_raises(seed, flips, cut):
+    """Flipped bytes and cuts in files of all four codecs give rows, pages or errors, and no exception."""
+    rng = np.random.default_rng(seed)
+    data = bytearray(tiff.write_tiff([(rng.integers(0, 4, (70, 66), dtype=np.uint8), how, 1 + k % 2, k > 1) for k, how in enumerate((tiff.LZW, tiff.DEFLATE, tiff.PACKBITS, tiff.NONE))]))
+    for at, value in flips:
+        data[-1 - at % len(data)] = value
+    pages = list(tiff.read_tiff(bytes(data[: len(data) - cut % len(data)])))
+    assert pages and all((p.error is None) == (p.pixels is not None) for p in pages)
+
+
+def _directory(fields, body=b""):
+    """A file of one directory with inline values, after `body` at offset 8."""
+    at = 8 + len(body)
+    entries = b"".join(tiff.struct.pack("<HHI", tag, 4, 1) + tiff.struct.pack("<I", v) for tag, v in sorted(fields.items()))
+    return b"II*\0" + tiff.struct.pack("<I", at) + body + tiff.struct.pack("<H", len(fields)) + entries + b"\0\0\0\0"
+
+
+@pytest.mark.parametrize(
+    "change",
+    [{322: 0, 323: 64, 324: 8, 325: 4}, {256: 1 << 31, 257: 1 << 31}, {256: 0}, {259: 5}, {277: 0}, {278: 0}, {258: 12}, {317: 9}, {273: 1 << 31}, {257: 1 << 20, 278: 1}],
+)
+def test_false_sizes_give_error_pages(change):
+    plain = {256: 2, 257: 2, 258: 8, 259: 1, 273: 8, 277: 1, 278: 2, 279: 4}
+    assert next(tiff.read_tiff(_directory(plain, b"abcd"))).pixels.tobytes() == b"abcd"
+    page = next(tiff.read_tiff(_directory(plain | change, b"abcd")))
+    assert page.pixels is None and page.error
+
+
+def test_lzw_code_past_the_table_is_an_error():
+    fields = {256: 4, 257: 1, 258: 8, 259: 5, 273: 8, 277: 1, 278: 1, 279: 4}
+    assert next(tiff.read_tiff(_directory(fields, b"\xff\xff\xff\xff"))).error
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff_of_other_samples(order):
+    """16-bit samples with a predictor, bits, and planes, in files written by hand."""
+    rows = np.array([[500, 70, 65535], [1, 2, 3]], np.uint16)
+    diff = np.concatenate([rows[:, :1], np.diff(rows, axis=1)], axis=1)
+    swap = lambda data: (b"II*\0" if order == "<" else b"MM\0*") + data
+
+    def file(fields, body):
+        at = 8 + len(body)
+        entries = b"".join(tiff.struct.pack(f"{order}HHI", tag, 4, 1) + tiff.struct.pack(f"{order}I", v) for tag, v in sorted(fields.items()))
+        return swap(tiff.struct.pack(f"{order}I", at) + body + tiff.struct.pack(f"{order}H", len(fields)) + entries + b"\0\0\0\0")
+
+    body = diff.astype(f"{order}u2").tobytes()
+    page = next(tiff.read_tiff(file({256: 3, 257: 2, 258: 16, 259: 1, 273: 8, 277: 1, 278: 2, 279: len(body), 317: 2}, body)))
+    assert (page.pixels[:, :, 0] == rows).all()
+    page = next(tiff.read_tiff(file({256: 10, 257: 2, 258: 1, 259: 1, 273: 8, 277: 1, 278: 2, 279: 4}, b"\xaa\x80\x55\x40")))
+    assert page.pixels[:, :, 0].tolist() == [[1, 0, 1, 0, 1, 0, 1, 0, 1, 0], [0, 1, 0, 1, 0, 1, 0, 1, 0, 1]]
+
+
+def _fluid(sizes, weights, tokens):
+    """How much of each queue is dealt by the time `tokens` are, by filling up to the next dry queue again and again."""
+    got = [Fraction(0)] * len(sizes)
+    while tokens > 0 and any(g < n for g, n in zip(got, sizes)):
+        open_ = [k for k in range(len(sizes)) if got[k] < sizes[k]]
+        weight = sum(weights[k] for k in open_)
+        step = min(Fraction(tokens, weight), min(Fraction(sizes[k] - got[k], weights[k]) for k in open_))
+        for k in open_:
+            got[k] += step * weights[k]
+        tokens -= step * weight
+    return got
+
+
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 9)), min_size=1, max_size=5), st.integers(3, 40))
+@settings(max_examples=80, deadline=None)
+def test_schedule_refills_windows(queues, window):
+    """Queues that run dry leave their share to the others: windows stay full but for fractions of a token a queue."""
+    sizes, weights = [n for n, _ in queues], [w for _, w in queues]
+    schedule = drr_packing.Schedule(sizes, weights, window, refill=True)
+    for i in range(sum(sizes) // window + 2):
+        assert [schedule.served(s, i) for s in range(len(sizes))] == [int(x) for x in _fluid(sizes, weights, i * window)]
+    place, windows = {}, {}
+    for s, n in enumerate(sizes):
+        for offset, at, run in schedule.runs(s, 0, n):
+            for k in range(run):
+                place[at + k] = (s, offset + k)
+                windows[schedule.window_of(s, offset + k)] = windows.get(schedule.window_of(s, offset + k), 0) + 1
+    assert sorted(place) == list(range(sum(sizes))) and len(set(place.values())) == sum(sizes)
+    last = max(windows)
+    assert all(abs(n - window) < len(sizes) for k, n in windows.items() if k != last) and windows[last] < window + len(sizes)
+
+
+@given(st.dictionaries(st.one_of(st.integers(1, 40), st.integers(60_000, 200_000)), st.integers(1, 3), min_size=1, max_size=5), st.floats(0, 1))
+@settings(max_examples=120, deadline=None)
+def test_fit_is_the_nearest_sum(counts, part):
+    """Documents of any length, over 65,536 words as well, against all choices."""
+    budget = int(sum(n * c for n, c in counts.items()) * part)
+    sums = {0}
+    for n, c in counts.items():
+        sums = {s + n * k for s in sums for k in range(c + 1)}
+    take = knapsack_mix.fit(counts, budget)
+    assert all(0 < k <= counts[n] for n, k in take.items())
+    assert abs(sum(n * k for n, k in take.items()) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_fit_beyond_the_full_program(monkeypatch):
+    """With shares first and the program for the rest, long lengths still take part."""
+    monkeypatch.setattr(knapsack_mix, "WORK", 0)
+    assert sum(n * k for n, k in knapsack_mix.fit({70_000: 10}, 130_000).items()) == 140_000
+    assert sum(n * k for n, k in knapsack_mix.fit({300_000: 1, 310_000: 1}, 590_000).items()) == 610_000
+    counts = {n: 1 + n % 7 for n in range(5, 900)} | {250_000: 4}
+    assert sum(n * k for n, k in knapsack_mix.fit(counts, 1_234_567).items()) == 1_234_567
+
+
+def _brute_bits(part, ranks):
+    """The cheapest way to guess one part, from the rules alone; None if only brute force takes it."""
+    found, low = [], part.lower()
+    for word, extra in ((low, 0), (low.translate(secrets_dp.LEET), 2)):
+        if len(part) >= 3 and word in ranks:
+            found.append(np.log2(ranks[word] + 1) + secrets_dp._case_bits(part) + extra)
+            break
+    if secrets_dp.DATE.fullmatch(part):
+        found.append(np.log2(365 * 150) + (0 if part.isdigit() else 2))
+    if secrets_dp.YEAR.fullmatch(part):
+        found.append(np.log2(150))
+    for size in range(1, len(part) // 2 + 1):
+        times = len(part) // size
+        if part == part[:size] * times and times >= (3 if size == 1 else 2):
+            found.append(sum(map(secrets_dp._char_bits, part[:size])) + np.log2(times))
+    if len(part) >= 4 and all(a + b in secrets_dp.neighbours() for a, b in zip(low, low[1:])):
+        steps = [ord(b) - ord(a) for a, b in zip(low, low[1:])]
+        found.append(np.log2(47) + 2 * (1 + sum(a * b < 0 for a, b in zip(steps, steps[1:]))) + np.log2(len(part)) + secrets_dp._case_bits(part))
+    return min(found, default=None)
+
+
+@given(st.one_of(st.text(alphabet="pas1920-.qwertT", max_size=14), st.text(alphabet="ab7", max_size=16), st.text(alphabet="qwerTYa", max_size=14)))
+@settings(max_examples=200, deadline=None)
+def test_guess_cost_against_all_cuts(value):
+    ranks = {"pas": 3, "set": 9, "wert": 40, "pass": 2}
+    cost = [0.0]
+    for b in range(1, len(value) + 1):
+        ways = [cost[b - 1] + secrets_dp._char_bits(value[b - 1])]
+        ways += [cost[a] + bits + 1 for a in range(b) if (bits := _brute_bits(value[a:b], ranks)) is not None]
+        cost.append(min(ways))
+    assert secrets_dp.guess_bits(value, ranks)[0] == pytest.approx(cost[-1])
+
+
+def test_long_words_and_units_count():
+    """A word of 30 letters, a unit of 12 characters said twice, and a very long value."""
+    word = "pneumonoultramicroscopicsilico"
+    assert secrets_dp.guess_bits(word, {word: 5})[1] == [(0, 30, "word")]
+    bits, cut = secrets_dp.guess_bits("904817263904817263", {})
+    assert cut == [(0, 18, "repeat")] and bits < secrets_dp.STRONG_BITS
+    assert secrets_dp.guess_bits("k3Qz9LmX0vBt" * 2, {})[1] == [(0, 24, "repeat")]
+    assert secrets_dp.guess_bits("ab" * 2000, {})[1] == [(0, 4000, "repeat")]
+
+
+@given(st.lists(st.sampled_from("ab"), max_size=14), st.lists(st.lists(st.sampled_from("ab"), min_size=1, max_size=10), min_size=1, max_size=4), st.integers(0, 5))
+@settings(max_examples=150, deadline=None)
+def test_automaton_counts_smaller_owners_only(words, passages, doc_id):
+    automaton = automaton_dedup.SuffixAutomaton()
+    for owner, passage in enumerate(passages):
+        automaton.add(passage, owner)
+    known = {tuple(p[i : i + 3]) for owner, p in enumerate(passages) if owner < doc_id for i in range(len(p) - 2)}
+    wanted = {k for i in range(len(words) - 2) if tuple(words[i : i + 3]) in known for k in range(i, i + 3)}
+    assert {k for a, b in automaton.spans(words, 3, doc_id) for k in range(a, b)} == wanted

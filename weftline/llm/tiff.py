@@ -1,11 +1,13 @@
 """TIFF pages as columns: directories are walked, strips and tiles decoded, predictors undone, a row for each page.
 
-The reader takes classic TIFF of either byte order, 8-bit samples, 1 to 4 samples a pixel, strips or tiles,
-compression 1 (none), 5 (LZW), 8 and 32946 (deflate) and 32773 (PackBits), and predictor 1 or 2. A damaged file or an
-unsupported page gives one row with `error` set rather than a failed job. The writer makes such files from payloads.
+The reader takes classic TIFF of either byte order; samples of 1, 8 or 16 bits, interleaved or in planes; strips or tiles;
+compression 1 (none), 5 (LZW), 8 and 32946 (deflate) and 32773 (PackBits); predictor 1 or 2. Any bytes give rows: a damaged
+file or an unsupported page gives one with `error` set rather than a failed job, and nothing is allocated before the
+sizes that a file claims are held against `MOST_BYTES`. The writer makes such files from payloads.
 
 Edge cases: a null or empty payload has 64 zero bytes; a payload over `page_rows` rows of 64 samples spans several
-pages; equal payloads give equal files.
+pages, so very long texts are stored whole; equal payloads give equal files and repeated rows equal rows; a null file is a
+damaged one; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from weftline.llm import common
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 64, 2048, 256, 64
+#: Bytes of a page's samples, one byte or two each, beyond which it is an error row rather than a worker out of memory.
+MOST_BYTES = 1 << 29
+DAMAGE = (struct.error, zlib.error, ValueError, KeyError, IndexError, OverflowError, ZeroDivisionError, MemoryError)
 #: Field types of the format: bytes a value and struct code.
 KINDS = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
 _RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
@@ -40,6 +45,7 @@ class Page:
     predictor: int
     pixels: np.ndarray | None
     error: str | None = None
+    bits: int = 8
 
 
 def pack_bits(data: bytes) -> bytes:
@@ -152,7 +158,7 @@ def _open(data: bytes, how: int, size: int) -> bytes:
     elif how == LZW:
         got = lzw_decode(data, size)
     elif how in (DEFLATE, OLD_DEFLATE):
-        got = zlib.decompress(data)
+        got = zlib.decompressobj().decompress(data, size)
     else:
         raise ValueError(f"compression {how} is not supported")
     if len(got) < size:
@@ -198,7 +204,7 @@ def write_tiff(pages: list[tuple[np.ndarray, int, int, bool]]) -> bytes:
     return bytes(out)
 
 
-def read_tiff(data: bytes, most_pages: int = 1 << 20) -> Iterator[Page]:
+def read_tiff(data: bytes) -> Iterator[Page]:
     """Every page of a file, in directory order; a damaged directory ends the walk with an error page."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     try:
@@ -207,58 +213,84 @@ def read_tiff(data: bytes, most_pages: int = 1 << 20) -> Iterator[Page]:
         at = struct.unpack_from(f"{order}I", data, 4)[0]
         seen: set[int] = set()
         while at:
-            if at in seen or len(seen) >= most_pages:
+            if at in seen:
                 raise ValueError("directories form a loop")
             seen.add(at)
             tags = {}
             for k in range(count := struct.unpack_from(f"{order}H", data, at)[0]):
                 tag, kind, n = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * k)
-                if kind in KINDS:
+                if kind in KINDS and n:
                     size, code = KINDS[kind]
                     place = at + 10 + 12 * k if size * n <= 4 else struct.unpack_from(f"{order}I", data, at + 10 + 12 * k)[0]
+                    if place + size * n > len(data):
+                        raise ValueError("a field reaches beyond the file")
                     tags[tag] = struct.unpack_from(f"{order}{n}{code}", data, place)
             at = struct.unpack_from(f"{order}I", data, at + 2 + 12 * count)[0]
-            yield _page(data, tags)
-    except (struct.error, ValueError) as problem:
-        yield Page(0, 0, 0, 0, 0, None, str(problem))
+            yield _page(data, tags, order)
+    except DAMAGE as problem:
+        yield Page(0, 0, 0, 0, 0, None, _told(problem))
 
 
-def _page(data: bytes, tags: dict[int, tuple[int, ...]]) -> Page:
+def _told(problem: Exception) -> str:
+    return f"{type(problem).__name__}: {problem}"
+
+
+def _samples(raw: bytes, rows: int, wide: int, samples: int, bits: int, order: str) -> np.ndarray:
+    """Decoded bytes of a strip or tile as rows of samples."""
+    if bits == 1:
+        return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : wide * samples].reshape(rows, wide, samples)
+    return np.frombuffer(raw, np.uint8 if bits == 8 else f"{order}u2").reshape(rows, wide, samples)
+
+
+def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> Page:
     one = lambda tag, default=0: tags.get(tag, (default,))[0]
-    width, height, samples, how, predictor = one(256), one(257), one(277, 1), one(259, 1), one(317, 1)
-    page = Page(width, height, samples, how, predictor, None)
+    width, height, samples, how, predictor, bits = one(256), one(257), one(277, 1), one(259, 1), one(317, 1), one(258, 1)
+    page = Page(width, height, samples, how, predictor, None, None, bits)
     try:
-        if set(tags.get(258, (1,))) != {8} or one(284, 1) != 1 or predictor not in (1, 2) or not width or not height:
-            raise ValueError("only chunky 8-bit samples with predictor 1 or 2 are supported")
-        tiled = 322 in tags
+        if bits not in (1, 8, 16) or len(set(tags.get(258, (1,)))) != 1 or one(284, 1) not in (1, 2) or predictor not in (1, 2) or predictor == 2 and bits == 1:
+            raise ValueError("only samples of 1, 8 or 16 bits with predictor 1 or 2 are supported")
+        if not width or not height or not samples:
+            raise ValueError("a page without samples")
+        tiled, planes = 322 in tags, samples if one(284, 1) == 2 else 1
         wide, tall = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
+        if not wide or not tall:
+            raise ValueError("a strip or tile without samples")
+        kind, each = (np.uint16 if bits == 16 else np.uint8), samples // planes
+        across, down = -(-width // wide), -(-height // tall)
+        if max(width * height, wide * tall) * samples * np.dtype(kind).itemsize > MOST_BYTES:
+            raise ValueError(f"a page of over {MOST_BYTES} bytes")
         places, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-        across = -(-width // wide)
-        pixels = np.zeros((height, width, samples), np.uint8)
+        if len(places) != len(sizes) or len(places) != across * down * planes:
+            raise ValueError("strips or tiles are missing")
+        pixels = np.zeros((height, width, samples), kind)
         for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
+            plane, k = divmod(k, across * down)
             y, x = k // across * tall, k % across * wide
             rows = tall if tiled else min(tall, height - y)
-            block = np.frombuffer(_open(data[place : place + size], how, rows * wide * samples), np.uint8).reshape(rows, wide, samples)
+            block = _samples(_open(data[place : place + size], how, rows * -(-wide * each * bits // 8)), rows, wide, each, bits, order)
             if predictor == 2:
-                block = np.add.accumulate(block, axis=1, dtype=np.uint8)
-            pixels[y : y + rows, x : x + wide] = block[: height - y, : width - x]
+                block = np.add.accumulate(block, axis=1, dtype=kind)
+            pixels[y : y + rows, x : x + wide, plane : plane + each] = block[: height - y, : width - x]
         page.pixels = pixels
-    except (KeyError, ValueError, zlib.error, struct.error) as problem:
-        page.error = str(problem)
+    except DAMAGE as problem:
+        page.error = _told(problem)
     return page
 
 
 def read_pages(df: DataFrame, key: str, media: str) -> DataFrame:
-    """A row for each page of each file: key, page, width, height, samples, compression, predictor, pixels, error."""
-    schema = "page int, width int, height int, samples int, compression int, predictor int, pixels binary, error string"
+    """A row for each page of each file: key, page, width, height, samples, bits, compression, predictor, pixels, error.
+
+    16-bit samples are little-endian in `pixels`, and samples of a bit take a byte each.
+    """
+    schema = "page int, width long, height long, samples int, bits int, compression int, predictor int, pixels binary, error string"
     kind = dict(df.dtypes)[key]
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1), strict=True):
                 for number, page in enumerate(read_tiff(data.as_py() or b"")):
-                    row = {"page": number, "width": page.width, "height": page.height, "samples": page.samples, "compression": page.compression, "predictor": page.predictor, "pixels": None if page.pixels is None else page.pixels.tobytes(), "error": page.error}
-                    columns = [pa.array([name.as_py()], batch.schema.field(0).type), *(pa.array([v], pa.string() if k == "error" else pa.binary() if k == "pixels" else pa.int32()) for k, v in row.items())]
+                    row = {"page": number, "width": page.width, "height": page.height, "samples": page.samples, "bits": page.bits, "compression": page.compression, "predictor": page.predictor, "pixels": None if page.pixels is None else page.pixels.astype(page.pixels.dtype.newbyteorder("<")).tobytes(), "error": page.error}
+                    columns = [pa.array([name.as_py()], batch.schema.field(0).type), *(pa.array([v], pa.string() if k == "error" else pa.binary() if k == "pixels" else pa.int64() if k in ("width", "height") else pa.int32()) for k, v in row.items())]
                     yield pa.RecordBatch.from_arrays(columns, names=["file", *row])
 
     return df.select(key, media).mapInArrow(pages, f"file {kind}, {schema}").withColumnRenamed("file", key)
@@ -301,7 +333,7 @@ def describe_media(media: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in names[2:]]
             for data in batch.column(2):
-                data = data.as_py()
+                data = data.as_py() or b""
                 pages = list(read_tiff(data))
                 problem = next((p.error for p in pages if p.error), None)
                 payload = b"".join(p.pixels.tobytes() for p in pages if p.pixels is not None)

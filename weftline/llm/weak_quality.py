@@ -8,7 +8,9 @@ rows, not on what is scored) train a linear scorer over hashed words and word sh
 The driver gets a row for each vote pattern, at most 3 ** 7, and the hashed counts of the sample's documents.
 
 Edge cases: a null or empty text, or one of white space only, has no words, scores 0 and is rejected; very long texts
-are scored whole; repeated rows score alike; an empty table gives no rows.
+are scored whole; a labeller with equal claims to both votes says bad, and a score of the threshold itself is kept;
+repeated rows score alike; an empty table gives no rows; other columns stay as they are, but `scored` puts its own in the
+place of one named quality_score, which `accepted` doesn't.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ def _slots(word: bytes, dimensions: int) -> tuple[int, int]:
     shape = word
     for pattern, mark in _SHAPES:
         shape = pattern.sub(mark, shape)
-    return zlib.crc32(word) % dimensions, zlib.crc32(b"shape " + shape[:8]) % dimensions
+    return zlib.crc32(word) % dimensions, zlib.crc32(b"shape " + shape) % dimensions
 
 
 def hashed(text: bytes, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
@@ -178,11 +180,11 @@ def fit_scorer(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     return train([(np.array(r["slots"], np.int64), np.array(r["shares"]), r["label"]) for r in got])
 
 
-def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """All columns of the documents and quality_score, which takes the place of a column of that name."""
+def scored(docs: DataFrame, sample: int = SAMPLE, name: str = "quality_score") -> DataFrame:
+    """All columns of the documents and the score, which takes the place of a column of that name."""
     weights = fit_scorer(docs, sample)
     if weights is None:
-        return docs.withColumn("quality_score", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -192,12 +194,13 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         del scorer
         common.give_back()
 
-    return docs.withColumn("quality_score", score(F.col("text").cast("binary")))
+    return docs.withColumn(name, score(F.col("text").cast("binary")))
 
 
 def accepted(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are kept, with their own columns only."""
-    return scored(docs, sample).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    name = common.fresh("score")[0]
+    return scored(docs, sample, name).where(F.col(name) >= threshold).drop(name)
 
 
 def op9(docs: DataFrame) -> DataFrame:
