@@ -393,3 +393,63 @@ def test_automaton_counts_smaller_owners_only(words, passages, doc_id):
     known = {tuple(p[i : i + 3]) for owner, p in enumerate(passages) if owner < doc_id for i in range(len(p) - 2)}
     wanted = {k for i in range(len(words) - 2) if tuple(words[i : i + 3]) in known for k in range(i, i + 3)}
     assert {k for a, b in automaton.spans(words, 3, doc_id) for k in range(a, b)} == wanted
+
+
+ARTICLE = "<h1>A title</h1><p>One long story about a small boat, told at some length.</p><p>It sailed.</p>"
+TEXT = "A title\nOne long story about a small boat, told at some length.\nIt sailed."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body class='has-sidebar'><nav><a href=/>Home page of all</a></nav>{ARTICLE}<footer>us and them</footer></body>",
+        f"<body class='no-sidebar'><div>{ARTICLE}</div></body>",
+        f"<body><div class='search-results'>{ARTICLE}</div><div class='sidebar'><p>Most read stories of the week</p></div></body>",
+        f"<body class='nav-open'><article>{ARTICLE}</article></body>",
+        "<article>" + ARTICLE.replace("<h1>", "<h1 class='post-header'>") + "</article>",
+        "<article><header class='entry-header'><h1>A title</h1></header>" + ARTICLE.split("</h1>")[1] + "</article>",
+        f"<form class='page-form'><div class=menu><a href=/1>Start</a></div>{ARTICLE}</form>",
+        f"<main>{ARTICLE}</main><section class=comments><article class=comment><p>I liked the boat more than the story, thank you very much indeed for both!</p></article></section>",
+        f"<article>{ARTICLE.replace('<p>It', '<div class=ad>buy boats today, they are cheap</div><p>It')}</article><div><p>Teasers of other tales of the sea that nobody asked for.</p></div>",
+        f"<aside><h1>Elsewhere</h1><article>Another tale of some length stands here</article></aside><article>{ARTICLE}</article>",
+    ],
+)
+def test_main_text_of_awkward_pages(page):
+    assert html_mss.extract(page) == TEXT
+
+
+def test_the_scan_decides(monkeypatch):
+    """With the whole page in place of the best run the result is another one."""
+    page = f"<body><nav><a href=/>Home page of all</a></nav><article>{ARTICLE}</article><footer>us and them</footer></body>"
+    assert html_mss.extract(page) == TEXT
+    monkeypatch.setattr(html_mss, "best_run", lambda scores: (0, len(scores)))
+    assert html_mss.extract(page) == "Home page of all\n" + TEXT + "\nus and them"
+
+
+@given(st.lists(st.tuples(st.sampled_from(["nav", "p", "div class=ad", "article", "h1", "footer", "li", "section class=comments"]), st.integers(0, 9), st.booleans()), max_size=14))
+@settings(max_examples=150, deadline=None)
+def test_main_text_against_all_runs(parts):
+    """The chosen blocks are those of the best of all contiguous runs, the first and longest of equals."""
+    page = "".join(f"<{tag}>{'word ' * n}" + f"</{tag.split()[0]}>" * closed for tag, n, closed in parts)
+    weights = dict(html_mss.default_weights())
+    items = html_mss.read(page).items
+    scores = [html_mss._score(x, weights) for x in items]
+    runs = [(i, j) for i in range(len(items)) for j in range(i + 1, len(items) + 1)]
+    sums = {(i, j): sum(scores[i:j]) for i, j in runs}
+    most = max(sums.values(), default=0)
+    found = html_mss.best_run(scores)
+    if most <= 0:
+        assert found == (0, 0) and html_mss.extract(page) == ""
+        return
+    assert sums[found] == pytest.approx(most)
+    lines = [html_mss.plain(x.text) for k, (kind, x) in enumerate(items) if kind == "block" and found[0] <= k < found[1] and scores[k] > 0]
+    assert html_mss.extract(page) == "\n".join(lines)
+
+
+def test_labelled_pages_come_out_right():
+    import json
+    from pathlib import Path
+
+    pages = json.loads(Path(html_mss.__file__).with_name("labelled_pages.json").read_text())
+    right = sum(html_mss.extract(p["html"]) == "\n".join(p["main"]) for p in pages)
+    assert right >= len(pages) - 1 and len(pages) >= 9
