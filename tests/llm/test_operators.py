@@ -565,3 +565,13 @@ def test_pipeline_keeps_clashing_columns(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
         assert got and all(tuple(r) == wanted[r.doc_id] for r in got)
     assert pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+
+
+def test_op1_reads_some_documents(docs):
+    spark, path = docs.sparkSession, common.shared_path(docs.sparkSession, "test-ids")
+    bitplane.write_ids(docs, path, common.tokenizer_file("word_bpe_49k.json"), 2, block=64, segment_ids=500)
+    wanted = {5, 8, 12, 30}
+    got = bitplane.read_some(spark, path, spark.createDataFrame([(k,) for k in wanted], "doc_id long")).collect()
+    texts = {r[0]: r[1] for r in ROWS}
+    assert {r.doc_id for r in got} == wanted and len(got) == 6
+    assert all(r.ids == _ids("word_bpe_49k.json", texts[r.doc_id], 2) for r in got)

@@ -453,3 +453,14 @@ def test_labelled_pages_come_out_right():
     pages = json.loads(Path(html_mss.__file__).with_name("labelled_pages.json").read_text())
     right = sum(html_mss.extract(p["html"]) == "\n".join(p["main"]) for p in pages)
     assert right >= len(pages) - 1 and len(pages) >= 9
+
+
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=300), st.booleans(), st.integers(1, 64), st.data())
+@settings(max_examples=60, deadline=None)
+def test_bitplane_ranges(ids, bits, block, data):
+    payload = bitplane.pack_ids(np.array(ids, "<u4"), block, bits)
+    first = data.draw(st.integers(0, len(ids)))
+    count = data.draw(st.integers(0, len(ids) - first))
+    assert bitplane.unpack_range(payload, first, count).tolist() == ids[first : first + count]
+    with pytest.raises(ValueError):
+        bitplane.unpack_range(payload, first, len(ids) - first + 1)

@@ -8,8 +8,11 @@ store that Spark writes to will do. Layout of a payload, all little-endian:
     chunk index: a u32 end offset for each plane of each block, counted from the first plane
     the compressed planes
 
-Edge cases: a null text counts as empty and holds the end id only; a document longer than a segment fills a segment
-of its own; rows with equal or null doc_id keep their own entries, nulls first; an empty table gives no rows.
+The chunk index gives random access: a range of ids is read by decoding the blocks it touches (`unpack_range`).
+
+Edge cases: a null text counts as empty and holds the end id only; a very long document, longer than a segment, fills a
+segment of its own; repeated rows and rows with equal or null doc_id keep their own entries, nulls first; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,26 +51,36 @@ def pack_ids(ids: np.ndarray, block: int = 16384, bits: bool = False, level: int
     return head + ends.astype("<u4").tobytes() + b"".join(planes)
 
 
-def unpack_ids(payload: bytes) -> np.ndarray:
-    """Decode a payload; raises ValueError if it is damaged."""
-    magic, n, block, planes, crc = HEAD.unpack_from(payload)
+def unpack_range(payload: bytes, first: int = 0, count: int | None = None) -> np.ndarray:
+    """`count` ids from place `first` on; only the planes of blocks that hold some of them are read and decompressed."""
+    magic, n, block, planes, _ = HEAD.unpack_from(payload)
     if magic != MAGIC:
         raise ValueError("not a bit-plane payload")
+    count = n - first if count is None else count
+    if first < 0 or count < 0 or first + count > n:
+        raise ValueError(f"ids {first} to {first + count} of {n}")
     blocks = -(-n // block)
     ends = np.frombuffer(payload, "<u4", blocks * planes, HEAD.size).astype(np.int64)
-    first = HEAD.size + 4 * blocks * planes
+    body = HEAD.size + 4 * blocks * planes
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     open_ = zstandard.ZstdDecompressor().decompress
-    out = np.empty(n, "<u4")
-    for b in range(blocks):
-        size = min(block, n - b * block)
-        raw = [open_(payload[first + starts[k] : first + ends[k]]) for k in range(b * planes, (b + 1) * planes)]
+    low, high = first // block, -(-(first + count) // block) if count else first // block
+    out = np.empty(min(high * block, n) - low * block if count else 0, "<u4")
+    for b in range(low, high):
+        size, at = min(block, n - b * block), (b - low) * block
+        raw = [open_(payload[body + starts[k] : body + ends[k]]) for k in range(b * planes, (b + 1) * planes)]
         if planes == 4:
-            out[b * block : b * block + size].view(np.uint8).reshape(-1, 4)[:] = np.stack([np.frombuffer(x, np.uint8) for x in raw], axis=1)
+            out[at : at + size].view(np.uint8).reshape(-1, 4)[:] = np.stack([np.frombuffer(x, np.uint8) for x in raw], axis=1)
         else:
             grid = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in raw]), axis=1, bitorder="little")[:, :size]
-            out[b * block : b * block + size] = np.ascontiguousarray(np.packbits(grid.T, axis=1, bitorder="little")).view("<u4").ravel()
-    if zlib.crc32(out.tobytes()) != crc:
+            out[at : at + size] = np.ascontiguousarray(np.packbits(grid.T, axis=1, bitorder="little")).view("<u4").ravel()
+    return out[first - low * block :][:count] if count else out
+
+
+def unpack_ids(payload: bytes) -> np.ndarray:
+    """Decode a whole payload; raises ValueError if it is damaged."""
+    out = unpack_range(payload)
+    if zlib.crc32(out.tobytes()) != HEAD.unpack_from(payload)[4]:
         raise ValueError("checksum of a bit-plane payload differs")
     return out
 
@@ -103,7 +116,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, block: in
         if doc_ids:
             yield flush()
 
-    ordered = docs.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange(common.partitions_for(docs), "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(segments, SEGMENTS).write.options(**{"compression": "none", "parquet.block.size": str(16 << 20)}).parquet(path)
 
 
@@ -135,6 +148,24 @@ def read_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
     return stored.select("shard", "shard_start", "doc_ids", "lengths", "payload").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
+def read_some(spark, path: str, wanted: DataFrame) -> DataFrame:
+    """doc_id and ids of the documents whose ids are in `wanted` (doc_id): of their segments only their blocks are decoded."""
+    stored = spark.read.schema(SEGMENTS).parquet(path)
+    places = stored.select("shard", "segment", F.posexplode("doc_ids").alias("nth", "doc_id")).join(wanted.select("doc_id").distinct(), "doc_id")
+    places = places.groupBy("shard", "segment").agg(F.collect_list("nth").alias("places"))  # a segment's documents at most
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                cuts, names, ids = np.cumsum([0, *row["lengths"]]), [], []
+                for nth in sorted(row["places"]):
+                    names.append(row["doc_ids"][nth])
+                    ids.append(unpack_range(row["payload"], int(cuts[nth]), row["lengths"][nth]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return stored.join(places, ["shard", "segment"]).select("doc_ids", "lengths", "payload", "places").mapInArrow(documents, "doc_id long, ids array<long>")
+
+
 def op1(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     """Write the ids of all documents, read the file back, describe each document."""
     spark = docs.sparkSession

@@ -64,6 +64,13 @@ def forget_tables(since: int = 0, keep: int = 0) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def partitions_for(df: DataFrame, each: int = 32 << 20) -> int:
+    """How many partitions of about `each` bytes a table has by its files' sizes, at least the session's number for shuffles."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, min(-(-size // each), 1 << 20)) if size < 1 << 60 else usual
+
+
 def tables_written() -> int:
     return len(_written)
 
