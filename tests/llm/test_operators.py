@@ -243,6 +243,17 @@ def test_op10(docs, split, monkeypatch):
     assert simhash_trie.op10(docs.where("doc_id IS NULL")).first().component_id is None
 
 
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_components_of_a_star_with_a_tail(spark, monkeypatch, hot):
+    """A hub of many edges, whose rows are broadcast where it counts as hot, a chain from it and a tree apart."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    edges = [(500, k) for k in range(60)] + [(500 + k, 501 + k) for k in range(9)] + [(1000 + k, 1000 + k // 2) for k in range(1, 40)]
+    got = {r.node: r.root for r in simhash_trie.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in [*range(60), *range(500, 510)]}, **{1000 + k: 1000 for k in range(40)}}
+    assert simhash_trie.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90)], "a long, b long")
     got = {r.node: r.root for r in simhash_trie.components(edges).collect()}
@@ -396,6 +407,7 @@ def test_near_copies_in_chains(spark, monkeypatch, small):
         monkeypatch.setattr(jaccard, "BLOCK", 2)
         monkeypatch.setattr(jaccard, "SHARE", 3)
         monkeypatch.setattr(common, "HOT_KEYS", 2)
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
     rng = random.Random(4)
     rows, key = [], 0
     for _ in range(3):

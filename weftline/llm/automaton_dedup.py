@@ -417,14 +417,18 @@ def shared_spans(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shard = F.pmod(F.xxhash64("owner", "chunk"), F.lit(shards)).alias("shard")
     asked = wanted.select("doc_id", shard, "at", "first", "end")
     loads = asked.groupBy("shard").agg(F.sum(F.col("end") - F.col("first")).alias("load"))
-    load = asked.agg(F.sum(F.col("end") - F.col("first"))).first()[0] or 0
-    share = max(SEGMENT_WORDS, load // common.HOT_KEYS)  # fewer than HOT_KEYS shards have more than one share
+    load, most = loads.agg(F.sum("load"), F.max("load")).first()
+    share = max(SEGMENT_WORDS, (load or 0) // common.HOT_KEYS)  # fewer than HOT_KEYS shards have more than one share
     hot = loads.where(F.col("load") > share).select("shard", F.ceil(F.col("load") / share).alias("salts"))
-    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
-    passages = _cut(docs, held.select("owner", shard, "first", "end"), wanted, "owner", "first").join(F.broadcast(hot), "shard", "left")
-    passages = passages.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("owner").alias("doc_id"), "tag", "at", "words")
-    segments = _cut(docs, asked, wanted, "doc_id", "at").join(F.broadcast(hot), "shard", "left")
-    segments = segments.select("shard", F.pmod(F.xxhash64("doc_id"), salts).alias("salt"), F.lit(1).alias("kind"), "doc_id", "tag", "at", "words")
+    one = F.lit(1).cast("bigint")
+
+    def salted(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("salts", one) if (most or 0) <= share else rows.join(F.broadcast(hot), "shard", "left").withColumn("salts", F.coalesce("salts", one))
+
+    passages = salted(_cut(docs, held.select("owner", shard, "first", "end"), wanted, "owner", "first"))
+    passages = passages.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("owner").alias("doc_id"), "tag", "at", "words")
+    segments = salted(_cut(docs, asked, wanted, "doc_id", "at"))
+    segments = segments.select("shard", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"), F.lit(1).alias("kind"), "doc_id", "tag", "at", "words")
     dealt = passages.unionByName(segments).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "doc_id")
     schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "tag", "first", "end")])
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Words of all contracts: maximal runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-BITMAP_BITS, FILTER_BUCKETS, HOT_KEYS = 32768, 4096, 1000
+BITMAP_BITS, FILTER_BUCKETS, HOT_KEYS, HOT_ROWS = 32768, 4096, 1000, 4096
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -134,7 +134,10 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int
     Fewer than `HOT_KEYS` keys can hold more than total / HOT_KEYS rows each. Their rows of `right` are broadcast, by that
     bound, and all other keys meet in a shuffle in which none is hot. `right` must be stored and have narrow rows.
     """
-    least = max(total // HOT_KEYS, 4096)
+    least = max(total // HOT_KEYS, HOT_ROWS)
+    if total <= least or right.where(F.col(count) > least).isEmpty():
+        names = [*left.columns, *(c for c in right.columns if c not in (key, count))]
+        return left.join(right.drop(count), key, how).select(*names)
     hot = F.broadcast(right.where(F.col(count) > least).drop(count))
     mark = fresh("hot")[0]
     probed = left.join(hot.withColumn(mark, F.lit(True)), key, "left")

@@ -87,7 +87,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     near = common.materialise(simhash_trie.links(prints.select("fp")), "near-trie")
     for side in ("a", "b"):
         named = near.groupBy(side).agg(F.count("*").alias("n")).join(prints.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head")), side)
-        near = common.join_hot(near, named, side, "n", near.count())
+        near = common.join_hot(near, common.materialise(named, "near-named"), side, "n", total)
     near = near.select(F.least("a_head", "b_head").alias("head"), F.greatest("a_head", "b_head").alias("key"))
     dealt = classes.select("key", F.explode("bands").alias("band"))
     heads = common.materialise(dealt.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1"), "near-bands")
@@ -104,11 +104,15 @@ def compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (head, key) that are alike, stored. `texts` has key and text."""
     counts = pairs.groupBy("head").agg(F.count("*").alias("n"))
     share = max(SHARE, pairs.count() // common.HOT_KEYS)
-    hot = F.broadcast(counts.where(F.col("n") > share).select("head", F.ceil(F.col("n") / share).alias("salts")))  # fewer than HOT_KEYS rows
-    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
-    one = counts.select("head").join(hot, "head", "left").join(texts.withColumnRenamed("key", "head"), "head")
-    one = one.select("head", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("head").alias("key"), "text")
-    others = pairs.join(hot, "head", "left").join(texts, "key").select("head", F.pmod(F.xxhash64("key"), salts).alias("salt"), F.lit(1).alias("kind"), "key", "text")
+    hot = counts.where(F.col("n") > share).select("head", F.ceil(F.col("n") / share).alias("salts"))  # fewer than HOT_KEYS rows
+    single, none = F.lit(1).cast("bigint"), hot.isEmpty()
+
+    def salted(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("salts", single) if none else rows.join(F.broadcast(hot), "head", "left").withColumn("salts", F.coalesce("salts", single))
+
+    one = salted(counts.select("head")).join(texts.withColumnRenamed("key", "head"), "head")
+    one = one.select("head", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("head").alias("key"), "text")
+    others = salted(pairs).join(texts, "key").select("head", F.pmod(F.xxhash64("key"), "salts").alias("salt"), F.lit(1).alias("kind"), "key", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -127,17 +131,27 @@ def compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return common.materialise(_dealt(one.unionByName(others), ["head", "salt"]).mapInArrow(compare, "a long, b long"), "near-links")
 
 
-def left_over(texts: DataFrame, classes: DataFrame, pairs: DataFrame, linked: DataFrame) -> DataFrame:
-    """Links between parts of a candidate component that the comparison with smallest rows left apart."""
-    parts = common.materialise(simhash_trie.components(linked), "near-parts")
-    groups = common.materialise(simhash_trie.components(pairs.select(F.col("head").alias("a"), F.col("key").alias("b"))), "near-groups")
-    rows = groups.select(F.col("node").alias("key"), F.col("root").alias("group")).join(parts.select(F.col("node").alias("key"), F.col("root").alias("part")), "key", "left")
-    rows = common.materialise(rows.select("key", "group", F.coalesce("part", "key").alias("part")), "near-rows")
-    sizes = rows.groupBy("group", "part").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("part", "n").alias("major"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    sizes = common.materialise(sizes.where("most < n AND n > 2"), "near-sizes")  # two rows have been compared
-    cells = F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("most")) / BLOCK)).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("n") / SHARE)).alias("salts")
-    open_ = common.join_hot(rows, sizes.select("group", "major", *cells, "n"), "group", "n", rows.count())
-    open_ = common.materialise(open_, "near-open")
+def left_over(texts: DataFrame, classes: DataFrame, pairs: DataFrame, linked: DataFrame) -> DataFrame | None:
+    """Links between parts of a candidate component that the comparison with smallest rows left apart; None if there are none."""
+    parts = common.materialise(simhash_trie.components(linked).select(F.col("node").alias("key"), F.col("root").alias("part")), "near-parts")
+    apart = common.materialise(pairs.join(linked.select(F.col("a").alias("head"), F.col("b").alias("key")), ["head", "key"], "left_anti"), "near-apart")
+    heads = apart.groupBy("head").agg(F.count("*").alias("n")).join(parts.select(F.col("key").alias("head"), F.col("part").alias("head_part")), "head")
+    crossing = common.join_hot(apart, common.materialise(heads, "near-heads"), "head", "n", apart.count(), "left").join(parts, "key", "left")
+    crossing = crossing.select(F.coalesce("head_part", "head").alias("a"), F.coalesce("part", "key").alias("b")).where("a != b")
+    groups = common.materialise(simhash_trie.components(crossing).select(F.col("node").alias("part"), F.col("root").alias("group")), "near-groups")
+    members = parts.groupBy("part").agg(F.count("*").alias("n"))
+    sized = groups.join(members, "part", "left").select("part", "group", F.coalesce("n", F.lit(1).cast("bigint")).alias("n"))
+    sized = common.materialise(sized, "near-sized")
+    sizes = sized.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    sizes = common.materialise(sizes.where("n > 2"), "near-sizes")  # two rows have been compared
+    if sizes.isEmpty():
+        return None
+    blocks, salts = F.ceil((F.col("n") - F.col("most")) / BLOCK), F.ceil(F.col("n") / SHARE)
+    few = common.join_hot(sized.select("part", "group", F.col("n").alias("rows")), sizes.select("group", "major", blocks.alias("blocks"), salts.alias("salts"), "parts"), "group", "parts", sized.count())
+    few = common.materialise(few, "near-few")
+    whole = common.join_hot(parts, few.select("part", "group", "major", "blocks", "salts", "rows"), "part", "rows", parts.count())
+    single = few.join(parts.select("part").distinct(), "part", "left_anti").select(F.col("part").alias("key"), "part", "group", "major", "blocks", "salts")
+    open_ = common.materialise(whole.select(*single.columns).union(single), "near-open")
     marks = common.bounded_filter(open_, "key")
     full = open_.join(common.maybe_in(texts, "key", marks), "key").join(common.maybe_in(classes.select("key", "bands"), "key", marks), "key")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -181,10 +195,11 @@ def surplus(rows: DataFrame, key: str) -> DataFrame:
     marks = common.bounded_filter(pairs.select(F.explode(F.array("head", "key")).alias("key")), "key")
     texts = common.maybe_in(rows.select("key", "text"), "key", marks)
     linked = compared(texts, pairs)
-    found = linked.union(left_over(texts, heads, pairs, linked)).union(same)
-    roots = common.materialise(simhash_trie.components(found).select(F.col("node").alias("key"), "root"), "near-roots")
-    marks = common.bounded_filter(roots, "key")
-    placed = common.materialise(common.maybe_in(rows.select("key", "doc_id"), "key", marks).join(roots, "key"), "near-placed")
+    rest = left_over(texts, heads, pairs, linked)
+    found = linked.union(same) if rest is None else linked.union(same).union(rest)
+    roots = simhash_trie.components(found).select(F.col("node").alias("key"), "root")
+    placed = common.materialise(rows.select("key", "doc_id").join(roots, "key"), "near-placed")
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"), F.count("*").alias("n"))
-    gone = common.join_hot(placed, best.select("root", F.col("best.key").alias("stays"), "n"), "root", "n", placed.count())
+    best = common.materialise(best.select("root", F.col("best.key").alias("stays"), "n"), "near-best")
+    gone = common.join_hot(placed, best, "root", "n", placed.count())
     return gone.where("key != stays").select(F.col("key").alias(key))

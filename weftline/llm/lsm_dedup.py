@@ -104,9 +104,12 @@ def verify(docs: DataFrame, shared: DataFrame, total: int) -> DataFrame:
     """Hits of the digests in `shared` with `other`: null where a row's bytes equal its digest's kept row, else its bytes."""
     least = max(SALT_ROWS, total // common.HOT_KEYS)
     salts = F.when(F.col("rows") > least, F.ceil(F.col("rows") / SALT_ROWS)).otherwise(1)
-    hot = F.broadcast(shared.where(F.col("rows") > least).select("digest", salts.alias("salts")))
+    hot = shared.where(F.col("rows") > least).select("digest", salts.cast("bigint").alias("salts"))
     rows = common.maybe_in(_digested(docs), "digest", common.bounded_filter(shared, "digest")).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.join(hot, "digest", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("bigint")))
+    if hot.isEmpty():
+        rows = rows.withColumn("salts", F.lit(1).cast("bigint"))
+    else:
+        rows = rows.join(F.broadcast(hot), "digest", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("bigint")))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), "salts"))
     hits = common.materialise(rows.join(_salted(shared.select("digest", "best", "rows"), salts).drop("rows"), ["digest", "salt"]), "lsm-hits")
     kept = hits.where((-F.col("points") == F.col("best.fewer")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))

@@ -174,26 +174,28 @@ def links(classes: DataFrame, split: int = SPLIT) -> DataFrame:
     return dealt.mapInArrow(forest, "a long, b long")
 
 
-def _least(edges: DataFrame, total: int) -> DataFrame:
-    """Edges (a, b) with m, the least b of each a."""
+def _least(edges: DataFrame, total: int, most: int) -> DataFrame:
+    """Edges (a, b) with m, the least b of each a. `most` is the largest number of edges of an a."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    return common.join_hot(edges, least, "a", "n", total)
+    if most <= common.HOT_ROWS:
+        return edges.join(least.drop("n"), "a")
+    return common.join_hot(edges, common.materialise(least, "star-least"), "a", "n", total)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) of every node of the edges (a, b): alternating large-star and small-star until nothing changes."""
+    """(node, root) of every node of the edges (a, b), stored: large-star and small-star by turns until only stars are left."""
     edges = common.materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "star-0")
-    state, total = None, edges.count()
     for k in range(rounds):
-        large = _least(edges.union(edges.select("b", "a")), 2 * total).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        sides = edges.select("a", F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+        nodes = sides.groupBy("a").agg(F.count("*").alias("n"), F.sum("up").alias("up"))
+        most, total, open_ = nodes.agg(F.max("n"), F.sum("up"), F.max((F.col("up") > 1) | (F.col("up") == 1) & (F.col("n") > 1))).first()
+        if not open_:  # every node has one smaller neighbour and no other, or larger ones only
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+        large = _least(edges.union(edges.select("b", "a")), 2 * total, most).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = large.where("a != b").distinct()
-        small = _least(large, total)
+        small = _least(large, total, most)
         small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = common.materialise(small.where("a != b").distinct(), f"star-{k + 1}")
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
-        state, total = now, now[0]
     raise RuntimeError(f"components aren't complete after {rounds} rounds")
 
 
