@@ -22,7 +22,7 @@ from weftline.session import table
 def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
     """Documents with a key for each row, and its name; stored, as the key must not change."""
     key = common.fresh("row")[0]
-    return common.materialise(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows"), key
+    return common.materialise(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows", compression="zstd"), key
 
 
 def _without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
