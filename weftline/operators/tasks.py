@@ -44,3 +44,51 @@ def sessions(events: DataFrame, key: str, gap_seconds: int) -> DataFrame:
     fresh = F.when(F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(order) < gap_seconds * 1_000_000, 0).otherwise(1)
     numbered = events.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(order))
     return numbered.groupBy(key, "session").agg(F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"), F.count("*").alias("events"))
+
+
+def lifecycles(events: DataFrame) -> DataFrame:
+    """task, state, pages: the log of each task folded through the states of a task that can be cancelled.
+
+    A task's log is one user's day of events; a longer one would be folded by a stateful stream instead.
+    """
+    log = task_log(events)
+    steps = log.select("task", "seq", F.when(F.col("kind") == "progress", "start").when(F.col("kind") == "page", "page").when(F.col("kind") == "error", "cancel").when(F.col("kind") == "complete", "end").alias("step")).where("step IS NOT NULL")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "step"))), lambda s: s["step"])
+    every = log.select("task").distinct()
+    logs = every.join(steps.groupBy("task").agg(ordered.alias("steps")), "task", "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<string>")))
+
+    def moved(at, step):
+        state = at["state"]
+        after = (
+            F.when((state == "queued") & (step == "start"), "running")
+            .when((state == "queued") & (step == "cancel"), "cancelled")
+            .when((state == "running") & (step == "cancel"), "cancelling")
+            .when((state == "running") & (step == "end"), "completed")
+            .when((state == "cancelling") & (step == "end"), "cancelled")
+            .otherwise(state)
+        )
+        return F.struct(after.alias("state"), (at["pages"] + F.when((state == "running") & (step == "page"), 1).otherwise(0)).alias("pages"))
+
+    begun = F.struct(F.lit("queued").alias("state"), F.lit(0).cast("bigint").alias("pages"))
+    return logs.select("task", F.aggregate("steps", begun, moved).alias("end")).select("task", "end.state", "end.pages")
+
+
+def slots(jobs: DataFrame, workers: int, places: int) -> DataFrame:
+    """queue, job, admitted, starts: jobs (queue, job, at, takes) of each queue in order of arrival.
+
+    `workers` of them run at once and `places` wait; a job that finds every place taken is refused. Jobs that start earlier
+    leave the queue first. A queue's jobs are folded in order, holding only those not ended yet.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("at", "job", "takes")))
+
+    def step(s, job):
+        pending = F.filter(s["ends"], lambda e: e > job["at"])
+        full = F.size(pending) >= workers + places
+        # with all workers taken a job starts when the one `workers` places before it ends
+        start = F.when(F.size(pending) < workers, job["at"]).otherwise(F.element_at(F.array_sort(pending), F.size(pending) - workers + 1))
+        told = F.struct(job["job"].alias("job"), (~full).alias("admitted"), F.when(~full, start).alias("starts"))
+        return F.struct(F.when(full, pending).otherwise(F.array_append(pending, start + job["takes"])).alias("ends"), F.array_append(s["told"], told).alias("told"))
+
+    begun = F.struct(F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<struct<job:bigint,admitted:boolean,starts:bigint>>").alias("told"))
+    folded = jobs.groupBy("queue").agg(ordered.alias("jobs")).select("queue", F.aggregate("jobs", begun, step).alias("s"))
+    return folded.select("queue", F.inline("s.told"))
