@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import folds, text
-from weftline.operators import evaluation
+from weftline.operators import evaluation, matching
 from weftline.plans.registry import query
 from weftline.session import table
 
@@ -73,13 +73,37 @@ def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.join(nexts, "k").select("item_id", F.levenshtein("t", "u").cast("bigint").alias("edits"), F.length("t").cast("bigint").alias("chars"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE p AS ({_TURNS}), k AS (SELECT conv_id, turn, trim(regexp_replace(lower(actual), '\s+', ' ', 'g')) AS hay, list_filter(string_split(trim(regexp_replace(lower(expected), '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS ws FROM p),
+r AS (SELECT conv_id, turn, hay, ws, 1::BIGINT AS i, 1::BIGINT AS place, 0::BIGINT AS found FROM k UNION ALL
+  SELECT conv_id, turn, hay, ws, i + 1, CASE WHEN instr(substr(hay, place), ws[i]) > 0 THEN place + instr(substr(hay, place), ws[i]) - 1 + length(ws[i]) ELSE place END, found + (instr(substr(hay, place), ws[i]) > 0)::BIGINT FROM r WHERE i <= len(ws))
+SELECT conv_id, turn, CASE WHEN len(ws) = 0 THEN 1.0 ELSE round(found::DOUBLE / len(ws), 6) END AS recall FROM r WHERE i = len(ws) + 1""")
 def ordered_phrase_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a turn's first words that the next turn has in the same order."""
     phrases = F.filter(F.split(text.dedupe_key(F.col("expected")), " "), lambda w: w != "")
     return _turns(spark, sf_dir).select("conv_id", "turn", F.round(folds.ordered_recall(phrases, text.dedupe_key(F.col("actual"))), 6).alias("recall"))
 
 
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS expected, substr(coalesce(text, ''), 1, length(coalesce(text, '')) // 2) AS actual FROM documents),
+e AS (SELECT doc_id, tok, count(*) AS wanted FROM (SELECT doc_id, unnest(regexp_extract_all(expected, '[0-9]+')) AS tok FROM d) x GROUP BY ALL),
+a AS (SELECT doc_id, tok, count(*) AS got FROM (SELECT doc_id, unnest(regexp_extract_all(actual, '[0-9]+')) AS tok FROM d) x GROUP BY ALL)
+SELECT e.doc_id, sum(least(wanted, coalesce(got, 0)))::BIGINT AS matched, sum(wanted)::BIGINT AS expected FROM e LEFT JOIN a ON e.doc_id = a.doc_id AND e.tok = a.tok GROUP BY e.doc_id""")
+def document_digit_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a document that its first half holds as often."""
+    told = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", told.alias("expected"), F.substring(told, F.lit(1), F.floor(F.length(told) / 2).cast("int")).alias("actual"))
+    digits = lambda c: F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0))
+    return evaluation.bag_recall(docs, ["doc_id"], digits("expected"), digits("actual"))
+
+
+@query()
+def misread_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifier-like words of documents looked for in their lines as misread, every i as l: found by a near window."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    names = F.filter(F.array_distinct(F.split("line", " ")), lambda w: matching.identifier_like(w))
+    flat = lines.select("doc_id", "line_no", F.explode(names).alias("name"), text.compact(F.replace("line", F.lit("i"), F.lit("l"))).alias("hay"))
+    return flat.select("doc_id", "line_no", "name", matching.near("hay", text.compact(F.col("name"))).alias("found"))
+
+
 @query()
 def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", evaluation.similarity(text.dedupe_key(text.folded(F.col("expected"))), text.dedupe_key(text.folded(F.col("actual")))).alias("percent"))

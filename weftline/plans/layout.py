@@ -121,7 +121,11 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("k", "na", "nb", (wide * tall).alias("shared"), (area("a") + area("b") - wide * tall).alias("joined"))
 
 
-@query()
+_KEPT = "greatest(0, least(p.x2, v[1].x2) - greatest(p.x1, v[1].x1)) * greatest(0, least(p.y2, v[1].y2) - greatest(p.y1, v[1].y1))"
+
+
+@query(f"""WITH {_BOXES}, l AS (SELECT k, list_sort(list({{'area': -(x2 - x1) * (y2 - y1), 'y1': y1, 'x1': x1, 'x2': x2, 'y2': y2}})) AS bs FROM b GROUP BY k)
+SELECT k, len(list_reduce(list_transform(bs, lambda q: [q]), lambda t, v: CASE WHEN len(list_filter(t, lambda p: ({_KEPT})::DOUBLE / greatest(1, -p.area - v[1].area - ({_KEPT})) > 0.65)) > 0 THEN t ELSE list_concat(t, v) END))::INT AS kept, len(bs) AS boxes FROM l""")
 def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _boxes(spark, sf_dir).withColumn("area", -(F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
     return boxes.groupBy("k").agg(F.size(words.suppress(F.collect_list(F.struct("area", "y1", "x1", "x2", "y2")))).alias("kept"), F.count("*").alias("boxes"))
@@ -207,7 +211,9 @@ def band_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.select("block", F.inline(folds.split_by_bands(F.col("bands"), F.lit(64), 12)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BOXES}, e AS (SELECT DISTINCT k, greatest(0, least(100, x2)) AS x FROM b UNION SELECT DISTINCT k, 100 FROM b), o AS (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY x) AS i FROM e WHERE x > 0),
+r AS (SELECT k, i, 0::BIGINT AS segment, 0::BIGINT AS s, x AS t FROM o WHERE i = 1 UNION ALL SELECT r.k, o.i, CASE WHEN o.x - r.s <= 60 THEN r.segment ELSE r.segment + 1 END, CASE WHEN o.x - r.s <= 60 THEN r.s ELSE r.t END, o.x FROM r JOIN o ON o.k = r.k AND o.i = r.i + 1)
+SELECT k, segment, min(s) AS "start", max(t) AS "end" FROM r GROUP BY k, segment""")
 def grid_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid lines of an order packed into segments of at most 60."""
     lines = _boxes(spark, sf_dir).groupBy("k").agg(F.collect_list(F.col("x2").cast("int")).alias("xs"))
@@ -259,7 +265,8 @@ def gap_filled_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "n", F.when(fits, filled).otherwise(F.col("idx")).alias("idx"))
 
 
-@query()
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS col FROM lineitem), g AS (SELECT *, sum((n % 3 <> 0)::INT) OVER (PARTITION BY l_orderkey ORDER BY col) AS head FROM c)
+SELECT l_orderkey, min(n) FILTER (n % 3 <> 0)::VARCHAR AS text, min(col)::INT AS col, count(*)::INT AS colspan FROM g WHERE head > 0 GROUP BY l_orderkey, head""")
 def merged_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column spans of rows in which every third cell continues the one to its left."""
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda n: F.when(n % 3 == 0, "::merge-left::").otherwise(n.cast("string"))).alias("row"))

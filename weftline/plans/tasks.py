@@ -67,7 +67,11 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("events"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id, epoch_us(ts) // 1000000 AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS i FROM events WHERE event_type IN ('error', 'purchase')),
+r AS (SELECT user_id, i, CASE WHEN ok THEN 0 ELSE 1 END AS failures, NULL::BIGINT AS until, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS outcome FROM c WHERE i = 1
+  UNION ALL SELECT c.user_id, c.i, CASE WHEN c.t < coalesce(r.until, 0) THEN r.failures WHEN ok THEN 0 ELSE r.failures + 1 END, CASE WHEN c.t < coalesce(r.until, 0) OR ok OR r.failures + 1 < 3 THEN r.until ELSE c.t + 3600 END,
+  CASE WHEN c.t < coalesce(r.until, 0) THEN 'open' WHEN ok THEN 'ok' ELSE 'failed' END FROM r JOIN c ON c.user_id = r.user_id AND c.i = r.i + 1)
+SELECT user_id, (i - 1)::INT AS call, outcome FROM r""")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of each user behind a breaker: errors are retryable failures, three of which shut it for an hour."""
     call = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("event_type") != "error").alias("ok"), F.lit(True).alias("retryable"))

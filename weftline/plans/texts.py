@@ -160,9 +160,10 @@ def compared_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.compact(t)).alias("compact_md5"), F.md5(text.fold_confusables(text.compact(t))).alias("folded_md5"), F.size(text.tokens(t)).cast("bigint").alias("tokens"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT doc_id, regexp_replace(replace(replace(lower(text), 'ß', 'ss'), 'ё', 'е'), '[^\p{L}\p{N}]+', '', 'g') AS t FROM documents)
+SELECT doc_id, len(list_filter(range(1, length(t) + 1), lambda i: i = 1 OR t[i] <> t[i - 1]))::INT AS squashed_chars FROM c""")
 def squashed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of one character as that character; SQL engines without back-references can't say this."""
+    """Runs of one character as that character."""
     return table(spark, sf_dir, "documents").select("doc_id", F.length(text.squash(text.compact(F.col("text")))).alias("squashed_chars"))
 
 
