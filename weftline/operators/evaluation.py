@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -21,23 +23,47 @@ def expected_lines(expected: DataFrame, key: str) -> DataFrame:
     return flat.where((F.col("line") != "") & ~F.col("line").rlike(r"(?i)^#{1,6}\s+page\s+[0-9]+$") & ~F.col("line").isin("```", "---") & ~F.col("line").rlike(SEPARATOR))
 
 
-def contained_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
+def contained_lines(lines: DataFrame, docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
     """(item_id, line_no, doc_id) for each expected line that a document contains, both squeezed and in lower case.
 
-    Lines of three or more words are looked up by their longest inner word: only documents that hold it are
-    compared, so the theta-join becomes an equi-join. Shorter lines, which any text may cut, meet every document.
+    The lines are cut in blocks of about `block_bytes` by a hash; each block's distinct lines are broadcast as one
+    automaton and the documents are read past it once, with no join and no shuffle. Expected lines are a reference
+    set, so there is one block unless it outgrows that size.
     """
-    lines = lines.withColumn("needle", text.dedupe_key(F.col("line"))).withColumn("parts", F.split("needle", " "))
-    inner = F.slice("parts", 2, F.greatest(F.size("parts") - 2, F.lit(1)))
-    anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    docs = docs.select("doc_id", text.dedupe_key(F.col("text")).alias("hay"))
-    anchored = lines.where(F.size("parts") >= 3).withColumn("anchor", anchor)
-    wanted = anchored.select("anchor").distinct()
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("anchor")).join(wanted, "anchor", "left_semi")
-    pairs = held.join(anchored.select("item_id", "line_no", "needle", "anchor"), "anchor").select("doc_id", "item_id", "line_no", "needle")
-    found = pairs.join(docs, "doc_id").where(F.contains("hay", "needle"))
-    short = lines.where(F.size("parts") < 3).select("item_id", "line_no", "needle")
-    return found.select("item_id", "line_no", "doc_id").union(short.join(docs, F.contains("hay", "needle")).select("item_id", "line_no", "doc_id"))
+    needles = lines.select("item_id", "line_no", text.dedupe_key(F.col("line")).alias("needle")).where("needle != ''")
+    size = needles.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    hay = docs.select("doc_id", text.dedupe_key(F.col("text")).alias("hay"))
+    found = None
+    for block in range(blocks):
+        part = needles.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == block).groupBy("needle").agg(F.collect_list(F.struct("item_id", "line_no")).alias("places"))
+        told = _contained(part, hay)
+        found = told if found is None else found.union(told)
+    return found
+
+
+def _contained(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """One block of needles (needle, places) against all documents (doc_id, hay)."""
+    held = hay.sparkSession.sparkContext.broadcast({r["needle"]: [(p["item_id"], p["line_no"]) for p in r["places"]] for r in needles.collect()})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for needle, places in held.value.items():
+            automaton.add_word(needle, (needle, places))
+        if len(automaton):
+            automaton.make_automaton()
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for doc_id, hay in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if len(automaton) and hay.is_valid:
+                    hits = dict(value for _, value in automaton.iter(hay.as_py()))
+                    out += [(item, line, doc_id) for places in hits.values() for item, line in places]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["item_id", "line_no", "doc_id"])
+
+    return hay.mapInArrow(rows, "item_id long, line_no int, doc_id long")
 
 
 def bag_recall(pairs: DataFrame, keys: list[str], expected: Column, actual: Column) -> DataFrame:

@@ -261,3 +261,37 @@ def flipped_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("doc_id") * 7919 % F.length("text")).cast("int")
     told = F.when(F.length("text") > 0, F.concat(F.substring("text", F.lit(1), at), F.lit("~"), F.substring("text", at + 2, F.length("text")))).otherwise("")
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce(told, F.lit("")).cast("binary")).alias("fuzzed_md5"))
+
+
+_RULED = """o AS (SELECT o_custkey AS k, (o_orderkey % 60)::BIGINT AS x, (o_orderkey * 7 % 40)::BIGINT AS y, (o_orderkey % 61)::BIGINT AS wide, (o_orderkey % 41)::BIGINT AS tall FROM orders),
+p AS (SELECT DISTINCT k, unnest(range(0, wide)) AS x, y FROM o UNION SELECT DISTINCT k, x, unnest(range(0, tall)) AS y FROM o),
+h AS (SELECT k, y, x - row_number() OVER (PARTITION BY k, y ORDER BY x) AS run FROM p), hr AS (SELECT k, y, run, count(*) AS n FROM h GROUP BY ALL HAVING count(*) >= 20), hl AS (SELECT k, y AS spot FROM hr GROUP BY k, y HAVING sum(n) >= 30),
+v AS (SELECT k, x, y - row_number() OVER (PARTITION BY k, x ORDER BY y) AS run FROM p), vr AS (SELECT k, x, run, count(*) AS n FROM v GROUP BY ALL HAVING count(*) >= 12), vl AS (SELECT k, x AS spot FROM vr GROUP BY k, x HAVING sum(n) >= 20),
+l AS (SELECT k, 'row' AS axis, spot FROM hl UNION ALL SELECT k, 'column', spot FROM vl), g AS (SELECT *, CASE WHEN spot - lag(spot) OVER (PARTITION BY k, axis ORDER BY spot) <= 2 THEN 0 ELSE 1 END AS fresh FROM l),
+j AS (SELECT *, sum(fresh) OVER (PARTITION BY k, axis ORDER BY spot) AS grp FROM g)"""
+
+
+def opened(row: Column, least: int) -> Column:
+    """How many pixels of a row of 0 and 1 lie in runs of `least` or more ones."""
+    return F.aggregate(F.regexp_extract_all(row, F.lit(f"1{{{least},}}"), F.lit(0)), F.lit(0), lambda n, run: n + F.length(run))
+
+
+@query(f"WITH {_RULED} SELECT k, axis, round_even((min(spot) + max(spot)) / 2.0, 0)::BIGINT AS position FROM j GROUP BY k, axis, grp")
+def detected_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ruled lines found in rasters of 60 by 40: long runs across and down, rows and columns with enough of them, grouped
+    where they lie at most 2 apart. A customer's orders draw a raster, each a line across and one down."""
+    big = lambda c: c.cast("bigint")
+    drawn = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.struct(big(F.col("o_orderkey") % 60).alias("x"), big(F.col("o_orderkey") * 7 % 40).alias("y"), big(F.col("o_orderkey") % 61).alias("wide"), big(F.col("o_orderkey") % 41).alias("tall")).alias("l"))
+    pages = drawn.groupBy("k").agg(F.collect_list("l").alias("ls"))  # a page's lines
+    pixel = lambda x, y: F.when(F.exists("ls", lambda m: ((m["y"] == y) & (x < m["wide"])) | ((m["x"] == x) & (y < m["tall"]))), "1").otherwise("0")
+    span = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    rows = F.transform(span(40), lambda y: F.array_join(F.transform(span(60), lambda x: pixel(x, y)), ""))
+    raster = pages.select("k", rows.alias("rows"))
+    columns = F.transform(span(60), lambda x: F.array_join(F.transform("rows", lambda r: F.substring(r, x + 1, F.lit(1))), ""))
+    found = raster.select("k", "rows", columns.alias("cols"))
+    strong = lambda lines, run, least: F.filter(F.transform(lines, lambda r, n: F.when(opened(r, run) >= least, n)), lambda n: n.isNotNull())
+    sides = F.array(F.struct(F.lit("row").alias("axis"), strong(F.col("rows"), 20, 30).alias("at")), F.struct(F.lit("column").alias("axis"), strong(F.col("cols"), 12, 20).alias("at")))
+    lines = found.select("k", F.inline(sides)).select("k", "axis", F.explode("at").alias("at"))
+    order = Window.partitionBy("k", "axis").orderBy("at")
+    grouped = lines.withColumn("fresh", F.when(F.col("at") - F.lag("at").over(order) <= 2, 0).otherwise(1)).withColumn("group", F.sum("fresh").over(order))
+    return grouped.groupBy("k", "axis", "group").agg(F.bround((F.min("at") + F.max("at")) / 2, 0).cast("bigint").alias("position")).drop("group")
