@@ -270,3 +270,44 @@ def sample_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey") % 5
     files = table(spark, sf_dir, "customer").select("c_custkey", F.when(k == 0, "a.png").when(k == 1, "b.pdf").otherwise("c.jpg").alias("file"))
     return files.join(F.broadcast(samples), "file", "left").select("c_custkey", "sample")
+
+
+#: Plan sections, and the shape of their elective groups.
+SECTIONS, ELECTIVES = ("Б1", "Б1.О", "Б1.В"), r"^Б1\.[ОВ]\.ДВ(\.[0-9]+)?$"
+_CODES = ("Б1", "Б1.О.01", "Б1.В.ДВ.2", "Б1.О.", "x", "Б1.В.ДВ.2.1", " Б1.В ", "ФТД.007", "")
+
+
+@query(r"""WITH c AS (SELECT p_partkey, trim(['Б1', 'Б1.О.01', 'Б1.В.ДВ.2', 'Б1.О.', 'x', 'Б1.В.ДВ.2.1', ' Б1.В ', 'ФТД.007', ''][1 + p_partkey % 9]) AS v FROM part), n AS (SELECT *, v IN ('Б1', 'Б1.О', 'Б1.В') OR regexp_matches(v, '^Б1\.[ОВ]\.ДВ(\.[0-9]+)?$') AS section, regexp_extract(v, '^(.*\.)[0-9]+$', 1) AS prefix, regexp_extract(v, '^.*\.([0-9]+)$', 1) AS digits FROM c)
+SELECT p_partkey, section, nullif(prefix, '') AS prefix, try_cast(nullif(digits, '') AS BIGINT) AS number, nullif(length(digits), 0)::BIGINT AS width FROM n""")
+def plan_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes of plan rows: whether they name a section, and the prefix, number and width of a numbered one."""
+    code = F.trim(F.get(F.array(*map(F.lit, _CODES)), (F.col("p_partkey") % len(_CODES)).cast("int")))
+    part = lambda k: F.nullif(F.regexp_extract("code", r"^(.*\.)([0-9]+)$", k), F.lit(""))
+    rows = table(spark, sf_dir, "part").select("p_partkey", code.alias("code"))
+    return rows.select("p_partkey", (F.col("code").isin(*SECTIONS) | F.col("code").rlike(ELECTIVES)).alias("section"), part(1).alias("prefix"), part(2).cast("bigint").alias("number"), F.length(part(2)).cast("bigint").alias("width"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, doc_id % 5 AS k, trim(coalesce(text, '')) AS t FROM documents),
+q AS (SELECT doc_id, trim(CASE k WHEN 0 THEN t WHEN 1 THEN '0000 1111 2222 ' || regexp_replace(substr(t, 1, 60), '[a-zA-Z]', '7', 'g') WHEN 2 THEN t || chr(1) || chr(2) WHEN 3 THEN '' ELSE upper(t) || ' 00000' END) AS native, CASE WHEN doc_id % 7 = 0 THEN '' ELSE t END AS ocr FROM p),
+l AS (SELECT *, list_filter(string_split(native, chr(10)), lambda x: trim(x) <> '')[1:6] AS nl, list_filter(string_split(ocr, chr(10)), lambda x: trim(x) <> '')[1:6] AS ol, length(native)::DOUBLE AS n FROM q),
+s AS (SELECT doc_id, native, ocr, n, length(native) - length(regexp_replace(native, '[\x{FFFD}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g')) + length(native) - length(regexp_replace(native, '[ÃÂÐ]', '', 'g')) + len(regexp_extract_all(native, 'Ñ[\x{80}-\x{bf}]')) AS art,
+  n - length(regexp_replace(native, '\p{L}', '', 'g')) AS let, n - length(regexp_replace(native, '\p{N}', '', 'g')) AS dig, n - length(replace(native, '0', '')) AS zer, n - length(regexp_replace(native, '[\s\x0b.,;:!?()\[\]{}"''«»“”‘’\-–—+*/=%№#@&<>|\\$_€£¥₽]', '', 'g')) AS mar,
+  len(regexp_extract_all(native, '0{4,}|1{4,}|2{4,}|3{4,}|4{4,}|5{4,}|6{4,}|7{4,}|8{4,}|9{4,}')) AS runs,
+  list_distinct(regexp_extract_all(lower(array_to_string(nl, chr(10))), '\p{L}[\p{L}\p{N}]+|\p{N}{2,}')) AS a, list_distinct(regexp_extract_all(lower(array_to_string(ol, chr(10))), '\p{L}[\p{L}\p{N}]+|\p{N}{2,}')) AS b FROM l)
+SELECT doc_id, CASE WHEN native = '' THEN FALSE WHEN ocr = '' THEN TRUE WHEN art >= 2 OR art > 0.01 * n OR let + dig + mar < 0.72 * n OR let + dig < 0.18 * n THEN FALSE
+  WHEN len(a) >= 4 AND len(b) >= 4 AND (let + dig + mar < 0.86 * n OR let + dig < 0.35 * n OR runs >= 2 OR zer > 0.12 * n OR dig + mar > 0.62 * n AND let < 0.28 * n) AND len(list_intersect(a, b)) < 0.08 * least(len(a), len(b)) THEN FALSE ELSE TRUE END AS trusted FROM s""")
+def native_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a page's native text is to be trusted: no artifacts, readable, and, where it looks odd, tokens shared with what
+    was recognised, by the first six lines of both."""
+    t, k = F.trim(F.coalesce("text", F.lit(""))), F.col("doc_id") % 5
+    odd = F.concat(F.lit("0000 1111 2222 "), F.regexp_replace(F.substring(t, 1, 60), "[a-zA-Z]", "7"))
+    native = F.when(k == 0, t).when(k == 1, odd).when(k == 2, F.concat(t, F.lit("\x01\x02"))).when(k == 3, "").otherwise(F.concat(F.upper(t), F.lit(" 00000")))
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.trim(native).alias("native"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(t).alias("ocr"))
+    lines = lambda c: F.array_join(F.slice(F.filter(F.split(c, "\n"), lambda x: F.trim(x) != ""), 1, 6), "\n")
+    told = pages.select("doc_id", "native", "ocr", F.struct(*(c.alias(n) for n, c in text.readable_counts(F.col("native")).items())).alias("s"), text.token_set(lines("native")).alias("a"), text.token_set(lines("ocr")).alias("b"))
+    s = F.col("s")
+    n, words, readable = s["chars"], s["letters"] + s["digits"], s["letters"] + s["digits"] + s["marks"]
+    bad = (s["artifacts"] >= 2) | (s["artifacts"] > 0.01 * n) | (readable < 0.72 * n) | (words < 0.18 * n)
+    strange = (readable < 0.86 * n) | (words < 0.35 * n) | (s["digit_runs"] >= 2) | (s["zeros"] > 0.12 * n) | ((s["digits"] + s["marks"] > 0.62 * n) & (s["letters"] < 0.28 * n))
+    apart = (F.size("a") >= 4) & (F.size("b") >= 4) & (text.overlap_ratio(F.col("a"), F.col("b")) < 0.08)
+    return told.select("doc_id", F.when(F.col("native") == "", False).when(F.col("ocr") == "", True).otherwise(~bad & ~(strange & apart)).alias("trusted"))

@@ -10,6 +10,7 @@ from weftline.operators import evaluation, matching
 from weftline.plans.registry import query
 from weftline.plans.reports import gate, threshold
 from weftline.session import table
+from weftline.sources import files
 
 #: What stands for a recogniser's reading of a turn: as it is, without spaces, o as 0, doubled letters, half of it.
 _ACTUAL_SQL = "CASE turn % 5 WHEN 0 THEN upper(text) WHEN 1 THEN replace(text, ' ', '') WHEN 2 THEN replace(text, 'o', '0') WHEN 3 THEN replace(text, 'e', 'ee') ELSE substr(text, 1, length(text) // 2) END"
@@ -206,3 +207,25 @@ def first_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("severity").orderBy("event_id")).cast("bigint")
     ranked = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("severity")).withColumn("place", place)
     return ranked.where(F.col("place") <= F.when(F.col("severity") == "error", 10).otherwise(25)).select("severity", "place", "event_id")
+
+
+@query(f"""{_MATRIX}, s AS (SELECT g.file, g.method, first, CASE WHEN last_run IS NULL THEN 'n/a' WHEN in_ms THEN printf('%.3f', floor(value * 1000) / 1000) ELSE printf('%.3f', value) END AS seconds, coalesce('profile-' || last_run % 3, '') AS profile FROM g LEFT JOIN last l ON g.file = l.file AND g.method = l.method)
+SELECT file, string_agg(method || '=' || seconds || ':' || profile, ' ' ORDER BY first) AS row FROM s GROUP BY file""")
+def timed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds and profile of each method's last run of a file, in the order in which methods first appear."""
+    runs = _runs(spark, sf_dir).where(F.col("method").isin("click", "view", "signup"))
+    last = runs.groupBy("file", "method").agg(F.max(F.struct("event_id", "value", "in_ms")).alias("last"))
+    seconds = F.when(F.col("last.in_ms"), F.floor(F.col("last.value") * 1000) / 1000).otherwise(F.col("last.value"))
+    told = F.when(F.col("last").isNull(), "n/a").otherwise(F.format_string("%.3f", seconds))
+    profile = F.coalesce(F.concat(F.lit("profile-"), (F.col("last.event_id") % 3).cast("string")), F.lit(""))
+    cells = _matrix(spark, sf_dir).join(last, ["file", "method"], "left").select("file", "first", F.concat("method", F.lit("="), told, F.lit(":"), profile).alias("cell"))
+    return cells.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "cell"))), lambda c: c["cell"]), " ").alias("row"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '# Result' || chr(10) || 'engine: a' || chr(10) || '---' || chr(10) || t WHEN 1 THEN '# Result' || chr(10) || t WHEN 2 THEN 'no heading' || chr(10) || '---' || chr(10) || t ELSE t END AS file FROM d)
+SELECT doc_id, md5(CASE WHEN starts_with(file, '# ') AND contains(file, chr(10) || '---' || chr(10)) THEN substr(file, instr(file, chr(10) || '---' || chr(10)) + 5) ELSE file END) AS body_md5 FROM x""")
+def result_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of result files: what follows the first rule of a file that begins with a heading."""
+    told, kind = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    file = F.when(kind == 0, F.concat(F.lit("# Result\nengine: a\n---\n"), told)).when(kind == 1, F.concat(F.lit("# Result\n"), told)).when(kind == 2, F.concat(F.lit("no heading\n---\n"), told)).otherwise(told)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(files.result_body(file).cast("binary")).alias("body_md5"))
