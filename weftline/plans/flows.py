@@ -311,3 +311,34 @@ def native_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     strange = (readable < 0.86 * n) | (words < 0.35 * n) | (s["digit_runs"] >= 2) | (s["zeros"] > 0.12 * n) | ((s["digits"] + s["marks"] > 0.62 * n) & (s["letters"] < 0.28 * n))
     apart = (F.size("a") >= 4) & (F.size("b") >= 4) & (text.overlap_ratio(F.col("a"), F.col("b")) < 0.08)
     return told.select("doc_id", F.when(F.col("native") == "", False).when(F.col("ocr") == "", True).otherwise(~bad & ~(strange & apart)).alias("trusted"))
+
+
+@query("""WITH g AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS task, event_id, event_type FROM events)
+SELECT task, count(*) AS events, CASE WHEN arg_max(event_type, event_id) = 'purchase' THEN 'complete' WHEN bool_or(event_type = 'purchase') THEN 'events-after-complete' ELSE 'ended-early' END AS verdict FROM g GROUP BY task""")
+def log_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each event log ends in its complete event, as a reader of logs demands."""
+    log = tasks.task_log(table(spark, sf_dir, "events"))
+    told = log.groupBy("task").agg(F.count("*").alias("events"), F.max_by("kind", "event_id").alias("last"), F.max(F.col("kind") == "complete").alias("completed"))
+    verdict = F.when(F.col("last") == "complete", "complete").when(F.col("completed"), "events-after-complete").otherwise("ended-early")
+    return told.select("task", "events", verdict.alias("verdict"))
+
+
+@query("""SELECT s_nationkey, '| name | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(s_name, '|', '\\|') || ' | ' || s_suppkey || ' |', chr(10) ORDER BY s_suppkey) AS report, count(*) AS rows FROM supplier GROUP BY s_nationkey""")
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a report as a Markdown table, one for each nation."""
+    line = F.concat(F.lit("| "), F.replace(F.col("s_name"), F.lit("|"), F.lit("\\|")), F.lit(" | "), F.col("s_suppkey").cast("string"), F.lit(" |"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("line")))), lambda r: r["line"])
+    rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(lines.alias("lines"))
+    return rows.select("s_nationkey", F.concat(F.lit("| name | key |\n| --- | --- |\n"), F.array_join("lines", "\n")).alias("report"), F.size("lines").cast("bigint").alias("rows"))
+
+
+@query("""WITH f AS (SELECT c_custkey, lower(c_mktsegment) || '/' || c_custkey || CASE c_custkey % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.pdf' WHEN 2 THEN '.txt' ELSE '.jpg' END AS file FROM customer)
+SELECT file, row_number() OVER (PARTITION BY split_part(file, '/', 1) ORDER BY file) AS place FROM f WHERE regexp_matches(lower(file), '\\.(png|jpg|jpeg|pdf)$') AND (file LIKE '%/1%' OR file LIKE '%5.%')""")
+def fixture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of supported kinds that one of several globs takes, in the order of their names within a folder."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lower("c_mktsegment"), F.lit("/"), k.cast("string"), F.when(k % 4 == 0, ".PNG").when(k % 4 == 1, ".pdf").when(k % 4 == 2, ".txt").otherwise(".jpg"))
+    files = table(spark, sf_dir, "customer").select(name.alias("file"))
+    taken = F.col("file").like("%/1%") | F.col("file").like("%5.%")
+    order = Window.partitionBy(F.split_part("file", F.lit("/"), F.lit(1))).orderBy("file")
+    return files.where(F.lower("file").rlike(r"\.(png|jpg|jpeg|pdf)$") & taken).select("file", F.row_number().over(order).cast("bigint").alias("place"))
