@@ -117,7 +117,7 @@ def markdown(text: Column) -> Column:
 
 def readable_counts(text: Column) -> dict[str, Column]:
     """Counts of code points by class, and of encoding artifacts."""
-    size = lambda pattern: F.regexp_count(text, F.lit(pattern))  # noqa: E731 - each pattern is one character
+    size = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
     unsafe = size("[�\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]")
     mojibake = size("[ÃÂÐ]") + F.regexp_count(text, F.lit("Ñ[\\x80-\\xbf]"))
     return {
@@ -125,9 +125,9 @@ def readable_counts(text: Column) -> dict[str, Column]:
         "artifacts": unsafe + mojibake,
         "letters": size(r"\p{L}"),
         "digits": size(r"\p{N}"),
-        "zeros": size("0"),
+        "zeros": F.length(text) - F.length(F.replace(text, F.lit("0"), F.lit(""))),
         "marks": size(READABLE),
-        "digit_runs": F.regexp_count(text, F.lit(r"([0-9])\1{3,}")),
+        "digit_runs": F.when(~F.regexp_like(text, F.lit("[0-9]{4}")), 0).otherwise(F.regexp_count(text, F.lit(r"([0-9])\1{3,}"))),
     }
 
 
