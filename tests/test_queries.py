@@ -57,3 +57,22 @@ def test_grid_markdown_holds_every_word(spark, tmp_path):
     for doc_id, text in rows:
         assert sorted(w for w in got[doc_id].split("\n")[0].split() if w not in ("|", "Column") and not w.isdigit()) == sorted(text.split())
     assert {d: got[d].split("\n")[0].count(" |") for d in got} == {1: -(-8 * len(long) // 200), 2: 1, 3: 2}
+
+
+def test_cells_hold_every_word(spark, tmp_path):
+    long = " ".join(f"word{k}" for k in range(200))
+    texts = {1: f"{long}\nshort line", 2: "one", 3: "a" * 25 + " b", 4: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cells, grids = {}, {}
+    for doc_id, told in texts.items():
+        for n, line in enumerate(told.split("\n")):
+            left = 0
+            for word in filter(None, line.split(" ")):
+                col = max(-(-(2 * left + 8 * len(word)) // 400) - 1, 0)
+                cells.setdefault((doc_id, n // 2, col), []).append(word)
+                left += 8 * (len(word) + 1)
+                grids[doc_id] = max(grids.get(doc_id, (0, 0)), (left - 8, 1))
+    got = QUERIES["words_to_cells"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.row, r.col): r.cell for r in got} == {k: " ".join(ws) for k, ws in cells.items()}
+    covered = {r.doc_id: (r.filled, r.cells) for r in QUERIES["cell_coverage"](spark, str(tmp_path)).collect()}
+    assert covered == {d: (sum(k[0] == d for k in cells), -(-grids[d][0] // 200)) for d in grids}

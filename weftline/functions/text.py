@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,16 +149,26 @@ def cell_text(text: Column) -> Column:
     return squeeze(F.replace(text, F.lit("|"), F.lit("\\|")))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value worked out once, however often and in whatever lambdas `body` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def table_markdown(rows: Column) -> Column:
     """Rows (array<array<string>>) as a Markdown table: blank rows dropped, ragged ones padded, header names filled."""
-    rows = F.filter(rows, lambda row: F.exists(row, lambda c: F.trim(c) != ""))
-    width = F.array_max(F.transform(rows, F.size))
-    padded = F.transform(rows, lambda row: F.concat(row, F.array_repeat(F.lit(""), width - F.size(row))))
-    header = F.transform(F.element_at(padded, 1), lambda c, k: F.when(c == "", F.concat(F.lit("Column "), (k + 1).cast("string"))).otherwise(c))
-    body = F.when(F.size(padded) > 1, F.slice(padded, 2, F.greatest(F.size(padded) - 1, F.lit(1)))).otherwise(F.array(F.array_repeat(F.lit(" "), width)))
     line = lambda row: F.concat(F.lit("| "), F.array_join(row, " | "), F.lit(" |"))
-    whole = F.concat(F.array(header), F.array(F.array_repeat(F.lit("---"), width)), body)
-    return F.when(F.size(rows) > 0, F.array_join(F.transform(whole, line), "\n")).otherwise(F.lit(""))
+
+    def table(kept: Column, width: Column) -> Column:
+        padded = lambda row: F.concat(row, F.array_repeat(F.lit(""), width - F.size(row)))
+        header = F.transform(padded(F.element_at(kept, 1)), lambda c, k: F.when(c == "", F.concat(F.lit("Column "), (k + 1).cast("string"))).otherwise(c))
+        body = F.when(F.size(kept) > 1, F.transform(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(1))), padded)).otherwise(F.array(F.array_repeat(F.lit(" "), width)))
+        return F.array_join(F.transform(F.concat(F.array(header), F.array(F.array_repeat(F.lit("---"), width)), body), line), "\n")
+
+    def told(kept: Column) -> Column:
+        whole = bound(F.array_max(F.transform(kept, F.size)), lambda width: table(kept, width))
+        return F.when(F.size(kept) > 0, whole).otherwise(F.lit(""))
+
+    return bound(F.filter(rows, lambda row: F.exists(row, lambda c: F.trim(c) != "")), told)
 
 
 def duration_label(seconds: Column) -> Column:

@@ -81,13 +81,13 @@ def response_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", images.response_mode(explicit, accept, F.col("event_type") == "click").alias("mode"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN line || ' 5 ₽' WHEN 1 THEN 'Зав. кафедрой ' || line WHEN 2 THEN '| Практика ' || line WHEN 3 THEN 'Зачет с оценкой ' || line ELSE line END AS line FROM l),
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), k AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN line || ' 5 ₽' WHEN 1 THEN 'Зав. кафедрой ' || line WHEN 2 THEN '| Практика ' || line WHEN 3 THEN 'Зачет с оценкой ' || line ELSE line END AS line FROM l),
 c AS (SELECT doc_id, contains(line, '₽') AS price, length(line) <= 200 AND (contains(line, '/') OR contains(line, '_') OR regexp_matches(lower(line), '\.[a-zа-я]{2,}')) AS identifier, doc_id % 7 = 1 AS signature, doc_id % 7 = 3 AS control_summary, doc_id % 7 = 2 AS practice_row FROM k)
 SELECT doc_id, count(*) FILTER (price) AS price, count(*) FILTER (identifier) AS identifier, count(*) FILTER (signature) AS signature, count(*) FILTER (control_summary) AS control_summary, count(*) FILTER (practice_row) AS practice_row FROM c GROUP BY doc_id""")
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each kind in a document."""
     kind = F.col("doc_id") % 7
-    lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
     told = F.when(kind == 0, F.concat("line", F.lit(" 5 ₽"))).when(kind == 1, F.concat(F.lit("Зав. кафедрой "), "line")).when(kind == 2, F.concat(F.lit("| Практика "), "line")).when(kind == 3, F.concat(F.lit("Зачет с оценкой "), "line")).otherwise(F.col("line"))
     return lines.select("doc_id", told.alias("line")).groupBy("doc_id").agg(*(F.count_if(c).alias(n) for n, c in images.line_classes(F.col("line")).items()))
 

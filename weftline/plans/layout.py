@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import folds, text
@@ -28,11 +28,11 @@ def confident_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", *(F.col(c).cast("bigint").alias(c) for c in ("line_no", "pos", "x1", "x2", "y1", "y2")))
 
 
-@query(f"""WITH {_WORDS}, o AS (SELECT *, CASE WHEN abs(y1 - lag(y1) OVER d) <= 20 THEN 0 ELSE 1 END AS fresh FROM w WHERE conf >= 60 WINDOW d AS (PARTITION BY doc_id ORDER BY y1, x1)),
+@query(f"""WITH {_WORDS}, o AS (SELECT *, CASE WHEN abs(y1 - lag(y1) OVER d) <= 20 THEN 0 ELSE 1 END AS fresh FROM w WHERE conf >= 40 WINDOW d AS (PARTITION BY doc_id ORDER BY y1, x1)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY y1, x1) AS grp FROM o)
 SELECT doc_id, grp::BIGINT AS "group", string_agg(text, ' ' ORDER BY y1, x1) AS line FROM g GROUP BY doc_id, grp""")
 def word_lines_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.chained_lines(_words(spark, sf_dir).where("conf >= 60"), 20)
+    return words.chained_lines(_words(spark, sf_dir).where("conf >= 40"), 20)
 
 
 @query(f"""WITH {_WORDS} SELECT doc_id, line_no::BIGINT AS line_no, string_agg(text, ' ' ORDER BY x1, text) AS line FROM w WHERE conf >= 40 GROUP BY doc_id, line_no""")
@@ -53,49 +53,58 @@ def word_lines_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lined.groupBy("doc_id", "cell", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "text"))), lambda w: w["text"]), " ").alias("text"))
 
 
-_CELLS = f"""{_WORDS}, p AS (SELECT doc_id, text, line_no, x1, (x1 + x2) / 2 AS cx FROM w),
-q AS (SELECT doc_id, text, x1, (line_no // 2)::BIGINT AS row, list_position(list_transform(range(0, 4), lambda k: 200 * k <= cx AND cx <= 200 * k + 200), true) - 1 AS col, line_no FROM p)"""
+_CELLS = f"""{_WORDS}, q AS (SELECT doc_id, text, line_no, x1, x2, (line_no // 2)::BIGINT AS row, greatest(ceil((x1 + x2) / 400) - 1, 0)::BIGINT AS col FROM w)"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words on a grid of rows of two lines and columns of 200, as many as a document's longest line needs.
+
+    A word lies in the first column that holds its centre, both ends inclusive, so every word has a cell.
+    """
+    col = F.greatest(F.ceil((F.col("x1") + F.col("x2")) / 400) - 1, F.lit(0)).cast("bigint")
+    return _words(spark, sf_dir).withColumn("col", col).withColumn("row", F.floor(F.col("line_no") / 2))
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words on a grid of 4 columns of 200 and rows of two lines; words right of it are left out."""
-    edges = F.array(*(F.lit(200.0 * k) for k in range(5)))
-    placed = _words(spark, sf_dir).withColumn("col", words.interval_index((F.col("x1") + F.col("x2")) / 2, edges)).where("col IS NOT NULL")
-    cells = placed.withColumn("row", F.floor(F.col("line_no") / 2)).groupBy("doc_id", "row", F.col("col").cast("bigint").alias("col"))
-    return cells.agg(text.cell_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "x1", "text"))), lambda w: w["text"]), " ")).alias("cell"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "x1", "text"))), lambda w: w["text"]), " ")
+    return _placed(spark, sf_dir).groupBy("doc_id", "row", "col").agg(text.cell_text(told).alias("cell"), F.max("x2").alias("reach"))
 
 
-@query(rf"WITH {_CELLS} SELECT doc_id, row, col::BIGINT AS col, trim(regexp_replace(replace(string_agg(text, ' ' ORDER BY line_no, x1), '|', '\|'), '\s+', ' ', 'g')) AS cell FROM q WHERE col >= 0 GROUP BY doc_id, row, col")
+@query(rf"WITH {_CELLS} SELECT doc_id, row, col, trim(regexp_replace(replace(string_agg(text, ' ' ORDER BY line_no, x1), '|', '\|'), '\s+', ' ', 'g')) AS cell FROM q GROUP BY doc_id, row, col")
 def words_to_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir)
+    return _cells(spark, sf_dir).drop("reach")
 
 
-@query(f"""WITH {_CELLS}, f AS (SELECT doc_id, count(*) AS filled, max(row) + 1 AS rows FROM (SELECT DISTINCT doc_id, row, col FROM q WHERE col >= 0) x GROUP BY doc_id)
-SELECT doc_id, filled, 4 * rows AS cells FROM f""")
+@query(rf"WITH {_CELLS} SELECT doc_id, count(DISTINCT CASE WHEN regexp_matches(text, '\S') THEN (row, col) END) AS filled, (ceil(max(x2) / 200) * (max(row) + 1))::BIGINT AS cells FROM q GROUP BY doc_id")
 def cell_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir).groupBy("doc_id").agg(F.count_if(F.col("cell") != "").alias("filled"), (4 * (F.max("row") + 1)).alias("cells"))
+    """Cells that hold something and all cells of each document's grid."""
+    cells = _placed(spark, sf_dir).groupBy("doc_id", "row", "col").agg(F.bool_or(F.col("text").rlike(r"\S")).alias("told"), F.max("x2").alias("reach"))
+    return cells.groupBy("doc_id").agg(F.count_if("told").alias("filled"), (F.ceil(F.max("reach") / 200) * (F.max("row") + 1)).cast("bigint").alias("cells"))
 
 
 @query()
 def grid_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word on a grid of columns of 200, as many as each document's longest line needs."""
-    col = F.greatest(F.ceil((F.col("x1") + F.col("x2")) / 400) - 1, F.lit(0)).cast("bigint")
-    placed = _words(spark, sf_dir).withColumn("col", col).withColumn("row", F.floor(F.col("line_no") / 2))
-    cells = placed.groupBy("doc_id", "row", "col").agg(text.cell_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "x1", "text"))), lambda w: w["text"]), " ")).alias("cell"), F.max("x2").alias("reach"))
-    rows = cells.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "cell"))).alias("cells"), F.max("reach").alias("reach"))
+    """Every word's cell, and blanks between them, as one Markdown table a document."""
+    rows = _cells(spark, sf_dir).groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "cell"))).alias("cells"), F.max("reach").alias("reach"))
     grids = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows"), F.ceil(F.max("reach") / 200).cast("bigint").alias("width"))
-    across = F.sequence(F.lit(0).cast("bigint"), F.col("width") - 1)
-    full = F.transform("rows", lambda r: F.transform(across, lambda k: F.coalesce(F.try_element_at(F.map_from_entries(r["cells"]), k), F.lit(""))))
-    return grids.select("doc_id", text.table_markdown(full).alias("markdown"))
+    blanks = lambda n: F.array_repeat(F.lit(""), n.cast("int"))
+
+    def dense(cells: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(cells, i + 1)["col"], F.col("width"))
+        told = F.transform(cells, lambda c, i: F.concat(F.array(c["cell"]), blanks(after(i) - c["col"] - 1)))
+        return F.concat(blanks(F.get(cells, F.lit(0))["col"]), F.flatten(told))
+
+    return grids.select("doc_id", text.table_markdown(F.transform("rows", lambda r: dense(r["cells"]))).alias("markdown"))
 
 
-@query(f"""WITH {_WORDS}, r AS (SELECT doc_id, x1, x2, max(x2) OVER (PARTITION BY doc_id ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w WHERE conf < 20),
-i AS (SELECT *, sum(CASE WHEN x1 <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY x1, x2 ROWS UNBOUNDED PRECEDING) AS island FROM r)
-SELECT doc_id, count(*) AS islands, sum(b - a)::BIGINT AS covered FROM (SELECT doc_id, island, min(x1) AS a, max(x2) AS b FROM i GROUP BY doc_id, island) x GROUP BY doc_id""")
+@query(f"""WITH {_WORDS}, r AS (SELECT doc_id, line_no // 2 AS band, x1, x2, max(x2) OVER (PARTITION BY doc_id, line_no // 2 ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
+i AS (SELECT *, sum(CASE WHEN x1 <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, band ORDER BY x1, x2) AS island FROM r)
+SELECT doc_id, band::BIGINT AS band, count(*) AS islands, sum(b - a)::BIGINT AS covered FROM (SELECT doc_id, band, island, min(x1) AS a, max(x2) AS b FROM i GROUP BY doc_id, band, island) x GROUP BY doc_id, band""")
 def interval_union_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union of the spans of weak words over all lines of a document."""
-    merged = words.islands(_words(spark, sf_dir).where("conf < 20"), ["doc_id"], "x1", "x2")
-    return merged.groupBy("doc_id").agg(F.count("*").alias("islands"), F.sum(F.col("x2") - F.col("x1")).cast("bigint").alias("covered"))
+    """Union of the spans of all words in each band of two lines."""
+    placed = _words(spark, sf_dir).withColumn("band", F.floor(F.col("line_no") / 2).cast("bigint"))
+    merged = words.islands(placed, ["doc_id", "band"], "x1", "x2")
+    return merged.groupBy("doc_id", "band").agg(F.count("*").alias("islands"), F.sum(F.col("x2") - F.col("x1")).cast("bigint").alias("covered"))
 
 
 _BOXES = "b AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_partkey % 40)::BIGINT AS x1, (l_suppkey % 30)::BIGINT AS y1, (l_partkey % 40 + 10 + l_quantity)::BIGINT AS x2, (l_suppkey % 30 + 20)::BIGINT AS y2 FROM lineitem)"
