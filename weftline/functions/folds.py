@@ -2,34 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.text import bound
+
+
+def _slices(items: Column, starts: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """`body` of each slice of an array and its number, given the places from 1 at which slices start."""
+
+    def each(at: Column) -> Column:
+        return F.transform(at, lambda a, k: body(F.slice(items, a, F.coalesce(F.get(at, k + 1), F.size(items) + 1) - a), k))
+
+    return bound(starts, each)
+
 
 def anchored_groups(words: Column, gap: int = 10) -> Column:
-    """Lines of words (struct<top, left, text>): a new line where a top is over `gap` from its line's first top."""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<array<string>>").alias("lines"))
+    """Lines of words (struct<top, left, text>): a new line where a top is over `gap` from its line's first top.
 
-    def step(state: Column, word: Column) -> Column:
-        fresh = state["anchor"].isNull() | (F.abs(word["top"] - state["anchor"]) > gap)
-        grown = F.concat(F.slice(state["lines"], 1, F.greatest(F.size(state["lines"]) - 1, F.lit(0))), F.array(F.array_append(F.element_at(state["lines"], -1), word["text"])))
-        lines = F.when(fresh, F.array_append(state["lines"], F.array(word["text"]))).otherwise(grown)
-        return F.struct(F.when(fresh, word["top"].cast("double")).otherwise(state["anchor"]).alias("anchor"), lines.alias("lines"))
+    Anchors are folded from the distinct tops, and lines are slices of the sorted words, so no word is copied twice.
+    """
 
-    return F.aggregate(F.array_sort(words), start, step, lambda s: F.transform(s["lines"], lambda x: F.array_join(x, " ")))
+    def anchors(tops: Column) -> Column:
+        far = lambda out, top: F.coalesce(top - F.try_element_at(out, F.lit(-1)) > gap, F.lit(True))
+        return F.aggregate(tops, F.array().cast("array<double>"), lambda out, top: F.when(far(out, top), F.array_append(out, top)).otherwise(out))
+
+    def lines(ws: Column) -> Column:
+        tops = F.array_distinct(F.transform(ws, lambda w: w["top"].cast("double")))
+        return bound(anchors(tops), lambda found: _slices(ws, starts(ws, found), lambda part, _: F.array_join(F.transform(part, lambda w: w["text"]), " ")))
+
+    def starts(ws: Column, found: Column) -> Column:
+        fresh = lambda w, i: (i == 0) | ((F.get(ws, i - 1)["top"] != w["top"]) & F.array_contains(found, w["top"].cast("double")))
+        return F.filter(F.transform(ws, lambda w, i: F.when(fresh(w, i), i + 1)), lambda i: i.isNotNull())
+
+    return bound(F.array_sort(words), lines)
 
 
 def midpoint_groups(words: Column, tolerance: Column) -> Column:
     """Line numbers from 0 for words (struct<centre, left, text>): the line's centre moves half-way to each word."""
-    start = F.struct(F.lit(None).cast("double").alias("centre"), F.lit(-1).alias("line"), F.array().cast("array<struct<line:int,left:int,text:string>>").alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("centre"), F.lit(0).alias("seen"), F.array().cast("array<int>").alias("starts"))
 
     def step(state: Column, word: Column) -> Column:
         same = state["centre"].isNotNull() & (F.abs(word["centre"] - state["centre"]) <= tolerance)
-        line = F.when(same, state["line"]).otherwise(state["line"] + 1)
         centre = F.when(same, (state["centre"] + word["centre"]) / 2).otherwise(word["centre"])
-        return F.struct(centre.alias("centre"), line.alias("line"), F.array_append(state["out"], F.struct(line.alias("line"), word["left"].cast("int").alias("left"), word["text"].alias("text"))).alias("out"))
+        starts = F.when(same, state["starts"]).otherwise(F.array_append(state["starts"], state["seen"] + 1))
+        return F.struct(centre.alias("centre"), (state["seen"] + 1).alias("seen"), starts.alias("starts"))
+
+    def lines(ws: Column) -> Column:
+        told = lambda part, k: F.transform(part, lambda w: F.struct(k.alias("line"), w["left"].cast("int").alias("left"), w["text"].alias("text")))
+        return F.flatten(_slices(ws, F.aggregate(ws, start, step, lambda s: s["starts"]), told))
 
-    return F.aggregate(F.array_sort(words), start, step, lambda s: s["out"])
+    return bound(F.array_sort(words), lines)
 
 
 def overlap_merge(chunks: Column, most: int = 20) -> Column:
@@ -38,16 +63,15 @@ def overlap_merge(chunks: Column, most: int = 20) -> Column:
     def norm(lines: Column) -> Column:
         return F.transform(lines, lambda x: F.lower(F.regexp_replace(F.trim(x), r"\s+", " ")))
 
-    def step(out: Column, chunk: Column) -> Column:
-        sizes = F.sequence(F.lit(0), F.least(F.lit(most), F.size(out), F.size(chunk)))
-
-        def same(size: Column) -> Column:
-            tail = F.slice(norm(out), F.greatest(F.size(out) - size + 1, F.lit(1)), size)
-            head = F.slice(norm(chunk), F.lit(1), size)
-            return (size > 0) & (tail == head) & F.forall(head, lambda x: x != "")
+    def shared(tail: Column, head: Column) -> Column:
+        same = lambda n: (F.slice(tail, F.size(tail) - n + 1, n) == F.slice(head, F.lit(1), n)) & F.forall(F.slice(head, F.lit(1), n), lambda x: x != "")
+        sizes = F.filter(F.sequence(F.lit(0), F.least(F.size(tail), F.size(head))), lambda n: (n > 0) & same(n))
+        return F.coalesce(F.array_max(sizes), F.lit(0))
 
-        shared = F.coalesce(F.array_max(F.filter(sizes, same)), F.lit(0))
-        return F.concat(out, F.slice(chunk, shared + 1, F.greatest(F.size(chunk) - shared, F.lit(0))))
+    def step(out: Column, chunk: Column) -> Column:
+        tail = norm(F.slice(out, F.greatest(F.size(out) - most + 1, F.lit(1)), most))  # only these lines can be shared
+        known = bound(tail, lambda t: bound(norm(F.slice(chunk, 1, most)), lambda h: shared(t, h)))
+        return bound(known, lambda n: F.concat(out, F.slice(chunk, n + 1, F.greatest(F.size(chunk) - n, F.lit(0)))))
 
     return F.trim(F.array_join(F.aggregate(chunks, F.array().cast("array<string>"), step), "\n"))
 
