@@ -76,3 +76,15 @@ def test_cells_hold_every_word(spark, tmp_path):
     assert {(r.doc_id, r.row, r.col): r.cell for r in got} == {k: " ".join(ws) for k, ws in cells.items()}
     covered = {r.doc_id: (r.filled, r.cells) for r in QUERIES["cell_coverage"](spark, str(tmp_path)).collect()}
     assert covered == {d: (sum(k[0] == d for k in cells), -(-grids[d][0] // 200)) for d in grids}
+
+
+def test_valid_selectors_of_any_key(spark, tmp_path):
+    """Keys up to the largest int: a selector of that many characters is too long, and is told so without writing it out."""
+    keys = [0, 1, 499, 500, 501, 502, 100_000, 2_147_483_647]
+    rows = [(key, kind, key, kind) for key in keys for kind in range(4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r.l_partkey, r.l_suppkey): r.valid for r in QUERIES["valid_selectors"](spark, str(tmp_path)).collect()}
+    assert got == {(key, kind): kind == 0 or kind == 2 and 1 <= key <= 500 for key in keys for kind in range(4)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet' WHERE l_partkey < 1000000")
+    assert {(p, s): v for _, _, p, s, v in con.execute(ORACLES["valid_selectors"]).fetchall()} == {k: v for k, v in got.items() if k[0] < 1_000_000}

@@ -179,12 +179,13 @@ def safe_path(path: Column) -> Column:
     return F.aggregate(F.split(path, "/"), start, step, lambda s: s["least"] >= 0)
 
 
-#: Fixed value: what a selector may be made of.
+#: What a selector may be made of, and its longest length.
 SAFE_SELECTOR = r"""^[A-Za-z0-9_#.:\[\]="'\-\s>+~*()]+$"""
+LONGEST_SELECTOR = 500
 
 
 def valid_selector(text: Column) -> Column:
-    shown = text.isNotNull() & F.length(text).between(1, 500) & text.rlike(SAFE_SELECTOR)
+    shown = text.isNotNull() & F.length(text).between(1, LONGEST_SELECTOR) & text.rlike(SAFE_SELECTOR)
     return shown & ~F.contains(text, F.lit(">>")) & ~F.contains(F.lower(text), F.lit("javascript:"))
 
 
