@@ -109,3 +109,13 @@ def test_shares_and_seconds_round_as_their_sql(spark, tmp_path):
         cursor = con.execute(ORACLES[name])
         columns = [c[0] for c in cursor.description]
         assert sorted(map(tuple, df.select(columns).collect())) == sorted(cursor.fetchall())
+
+
+def test_merged_positions_of_boxes_without_an_order(spark, tmp_path):
+    """Boxes alike in place and number lie in one group, in whatever order they are read."""
+    boxes = [(k, n, x + 40 * k, 1, 1.0) for k in range(40) for n, x in [(1, 0), (1, 0), (1, 3), (2, 20), (2, 20), (2, 20), (1, 39), (1, 39)]]
+    for nth, rows in enumerate((boxes, boxes[::-1])):
+        folder = str(tmp_path / str(nth))
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").repartition(3).write.parquet(f"{folder}/lineitem.parquet")
+        got = sorted(map(tuple, QUERIES["merged_positions"](spark, folder).select("k", "group", "position", "members").collect()))
+        assert got == [(k, *told) for k in range(40) for told in ((1, 1, 3), (2, 20, 3), (3, 39, 2))]

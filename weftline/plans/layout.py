@@ -239,10 +239,15 @@ def separator_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 i AS (SELECT k, x1, sum(fresh) OVER (PARTITION BY k ORDER BY x1, n ROWS UNBOUNDED PRECEDING) AS grp FROM g)
 SELECT k, grp::BIGINT AS "group", round_even(avg(x1), 0)::BIGINT AS position, count(*) AS members FROM i GROUP BY k, grp""")
 def merged_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions chained within 5 as one at their mean, halves to even."""
+    """Positions chained within 5 as one at their mean, halves to even.
+
+    Boxes that agree in x1 and n have no order, and none is needed: the sum's frame is by range, so all of them lie in
+    the group of the first. A frame by rows, as in the SQL, may put one that follows before the one that opens the group.
+    """
     order = Window.partitionBy("k").orderBy("x1", "n")
     boxes = _boxes(spark, sf_dir).withColumn("fresh", F.when(F.col("x1") - F.lag("x1").over(order) <= 5, 0).otherwise(1))
-    return boxes.withColumn("group", F.sum("fresh").over(order)).groupBy("k", "group").agg(F.bround(F.avg("x1"), 0).cast("bigint").alias("position"), F.count("*").alias("members"))
+    so_far = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return boxes.withColumn("group", F.sum("fresh").over(so_far)).groupBy("k", "group").agg(F.bround(F.avg("x1"), 0).cast("bigint").alias("position"), F.count("*").alias("members"))
 
 
 @query(f"""WITH {_BOXES} SELECT k, round(quantile_cont(x2, 0.9), 6) AS linear, list_sort(list(x2))[floor((count(*) - 1) * 0.9)::INT + 1] AS nearest, median(x2 - x1) AS middle FROM b GROUP BY k""")
