@@ -341,6 +341,52 @@ def test_fit_beyond_the_full_program(monkeypatch):
     assert sum(n * k for n, k in knapsack_mix.fit(counts, 1_234_567).items()) == 1_234_567
 
 
+@given(st.dictionaries(st.integers(1, 25), st.integers(1, 300), min_size=1, max_size=5), st.floats(0, 1), st.integers(1, 9))
+@settings(max_examples=200, deadline=None)
+def test_fit_is_the_nearest_sum_beyond_its_first_window(counts, part, times):
+    """Many documents of few lengths, with common divisors and without, against the sets of all sums."""
+    counts = {n * times: c for n, c in counts.items()}
+    total = sum(n * c for n, c in counts.items())
+    budget, sums = int(total * part), 1
+    for n, c in counts.items():
+        for _ in range(c):
+            sums |= sums << n
+    take = knapsack_mix.fit(counts, budget)
+    assert all(0 < k <= counts[n] for n, k in take.items())
+    assert abs(sum(n * k for n, k in take.items()) - budget) == min(abs(s - budget) for s in range(total + 1) if sums >> s & 1)
+
+
+@pytest.mark.parametrize("times", [1, 10, 100_000])
+def test_fit_gives_every_length_its_share_at_every_size(times):
+    """One way at all sizes: no size of the input from which on other lengths are preferred."""
+    counts = {n: 40 * times for n in range(5, 205)}
+    total = sum(n * c for n, c in counts.items())
+    for part in (0.3, 0.7):
+        take = knapsack_mix.fit(counts, int(total * part))
+        assert sum(n * k for n, k in take.items()) == int(total * part)
+        for low, high in ((5, 55), (55, 105), (105, 155), (155, 205)):
+            assert sum(take.get(n, 0) for n in range(low, high)) == pytest.approx(part * 50 * 40 * times, rel=0.03)
+
+
+@pytest.mark.parametrize("budget, gap", [(500_000_003, 0), (500_000_004, 1), (500_000_500, 497)])
+def test_fit_is_the_nearest_where_few_documents_close_the_gap(budget, gap):
+    take = knapsack_mix.fit({1000: 10**6, 1001: 3}, budget)
+    assert take[1000] <= 10**6 and take[1001] <= 3
+    assert abs(1000 * take[1000] + 1001 * take[1001] - budget) == gap
+
+
+def test_fit_stops_where_remainders_allow_no_nearer_sum():
+    counts = {7 * k: 10**5 for k in range(1, 3000)} | {8: 3}
+    assert abs(sum(n * k for n, k in knapsack_mix.fit(counts, 7 * 10**9 + 5).items()) - 7 * 10**9 - 5) == 2
+
+
+def test_fit_takes_the_same_whatever_is_held(monkeypatch):
+    counts = {n: 1 + n % 7 for n in range(5, 900)} | {250_000: 4}
+    wanted = knapsack_mix.fit(counts, 1_234_567)
+    monkeypatch.setattr(knapsack_mix, "WORK", 0)
+    assert knapsack_mix.fit(counts, 1_234_567) == wanted
+
+
 def _brute_bits(part, ranks):
     """The cheapest way to guess one part, from the rules alone; None if only brute force takes it."""
     found, low = [], part.lower()

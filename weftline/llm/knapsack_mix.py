@@ -2,11 +2,11 @@
 
 Sources in code point order, null last, weigh 1, 2, 3 and again; their targets share the words of all documents by
 weight, none above three times its source's words. A target is its source's words some whole times and a rest. The
-rest is filled from counts of documents by exact length by a bounded-knapsack dynamic program over all lengths (a bit
-set of reachable sums), which comes as near to the budget, from below or above, as any choice of documents can. Where that
-would take more than `WORK` steps of a word, each length first gives its proportional share and the longest lengths
-follow as they still fit, until less than `DP_WORDS` are open; the program then fills what is open from all that is left,
-lengths of any size included, over the budget where that is nearer. Documents of a length are taken in the order of a
+rest is filled with counts of documents by exact length that come as near to the budget, from below or above, as any choice
+of documents can, in one way at all sizes: every length gives its proportional share of all but the last words, and a
+bounded-knapsack dynamic program (a bit set of reachable sums) fills these from all documents that are left, lengths of any
+size included. Where that is farther from the budget than the remainders of the lengths ask, more words are left to
+the program, until it is as near or no choice of documents is left out. Documents of a length are taken in the order of a
 seeded hash until the length's count is reached.
 
 Skew: counting is pre-aggregated, the plan of a source sees a row for each distinct length, and ranks within a length
@@ -23,6 +23,7 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import gcd
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,7 +33,8 @@ from weftline.llm import common
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-DP_WORDS, WORK = 1 << 15, 1 << 33
+#: Bits of reachable sums held at once when a choice is read back; what isn't held is worked out again, with the same result.
+WORK = 1 << 29
 SLOTS = 4096
 
 
@@ -54,47 +56,106 @@ def targets(sizes: dict[str | None, int], cap: int = CAP, weights: tuple[int, ..
 
 
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many documents of each length to take so that their words come as near to the budget as this search can."""
+    """How many documents of each length to take so that their words come as near to the budget as any choice can.
+
+    Over half of all words, what is left out is fitted instead. Of two sums as near either may be taken.
+    """
     counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in counts.items())
     if budget <= 0 or not total:
         return {}
     budget = min(budget, total)
-    steps = sum(c.bit_length() for c in counts.values())
-    if steps * (budget + max(counts)) <= WORK:
-        return _knapsack(counts, budget)
-    share = budget / total
-    take = {n: min(c, int(c * share)) for n, c in counts.items()}
-    left = budget - sum(n * c for n, c in take.items())
-    for n in sorted(take, reverse=True):
-        if left < DP_WORDS:
-            break
-        more = min(counts[n] - take[n], max(left - DP_WORDS, 0) // n + 1, left // n)
-        take[n] += more
-        left -= more * n
-    for n, k in _knapsack({n: counts[n] - k for n, k in take.items()}, left).items():
-        take[n] += k
-    return {n: k for n, k in take.items() if k}
+    if 2 * budget <= total:
+        return _nearest(counts, budget)
+    out = _nearest(counts, total - budget)
+    return {n: c - out.get(n, 0) for n, c in counts.items() if c > out.get(n, 0)}
 
 
-def _knapsack(room: dict[int, int], budget: int) -> dict[int, int]:
-    """Bounded knapsack: reachable sums as bits, counts split in powers of two; the nearest sum, the lower of two as near.
+def _nearest(counts: dict[int, int], budget: int) -> dict[int, int]:
+    """The fit of a budget of at most half of all words: shares of all but the last words, the program for these.
 
-    A sum above the budget is of use if it is over by less than its smallest document, so sums end at the budget and the
-    longest length together. A set of sums is kept for each 64 steps and worked out again in between when the choice
-    is read back.
+    The last words are twice the longest length at first; each time after, they are four times as many, and lengths
+    that have fewest words are wholly open besides. From shares within a longest length of the budget, a nearest choice
+    is apart by at most two longest lengths over the greatest common divisor of all lengths, in documents: put in an
+    order that keeps to that distance, sums between the two repeat beyond that, and what lies between equal sums can be
+    left out. So `floor` can be fixed in any case.
+    """
+    longest, rare = max(counts), sorted(counts, key=lambda n: (n * counts[n], n))
+    apart, least = 2 * longest // gcd(*counts), _least_gap(counts, budget)
+    floor = {n: max(k - apart, 0) for n, k in _shares(counts, budget).items()}
+    words = 2 * longest
+    while True:
+        whole = budget - words <= sum(n * k for n, k in floor.items())
+        fixed = dict(floor) if whole else _shares(counts, budget - words)
+        spare = words - 2 * longest
+        for n in rare:
+            spare -= n * counts[n]
+            if spare < 0:
+                break
+            fixed[n] = 0
+        left = budget - sum(n * k for n, k in fixed.items())
+        found = _knapsack({n: c - fixed[n] for n, c in counts.items()}, left)
+        if whole or abs(sum(n * k for n, k in found.items()) - left) <= least:
+            take = {n: k + found.get(n, 0) for n, k in fixed.items()}
+            return {n: k for n, k in take.items() if k}
+        words *= 4
+
+
+def _shares(counts: dict[int, int], budget: int) -> dict[int, int]:
+    """Proportional counts, rounded along the lengths, so that their words are within the longest length of the budget."""
+    total, seen, given, out = sum(n * c for n, c in counts.items()), 0, 0, {}
+    for n in sorted(counts):
+        seen += counts[n]
+        upto = seen * budget // total
+        out[n], given = upto - given, upto
+    return out
+
+
+def _least_gap(counts: dict[int, int], budget: int) -> int:
+    """How near to the budget a sum can be at best, by its remainders modulo the common divisors of the commonest lengths."""
+    least, step = 0, 0
+    for common_length in sorted(counts, key=lambda n: (-counts[n], n)):
+        if gcd(step, common_length) == step:
+            continue
+        step = gcd(step, common_length)
+        whole, reach = (1 << step) - 1, 1
+        for n, k in _pieces({n: min(c, step) for n, c in counts.items() if n % step}):
+            by = n * k % step
+            reach |= (reach << by | reach >> step - by) & whole
+            if reach == whole:
+                break
+        at = budget % step
+        turned = (reach >> at | reach << step - at) & whole
+        least = max(least, min((turned & -turned).bit_length() - 1, step - turned.bit_length() + 1))
+    return least
+
+
+def _pieces(room: dict[int, int]) -> list[tuple[int, int]]:
+    """Counts of each length split in powers of two and a rest: any count up to the whole is a sum of some.
+
+    Lengths come in the order of their golden hash, so that those that come first are spread over all lengths.
     """
     pieces = []
-    for n in sorted(room):
+    for n in sorted(room, key=lambda n: (n * 0x9E3779B1 & 0xFFFFFFFF, n)):
         count, k = room[n], 1
         while count > 0:
             pieces.append((n, min(k, count)))
             count, k = count - k, 2 * k
-    mask = (1 << budget + max(room, default=0) + 1) - 1
-    reach, kept, last = 1, [], len(pieces)
+    return pieces
+
+
+def _knapsack(room: dict[int, int], budget: int) -> dict[int, int]:
+    """Bounded knapsack: reachable sums as bits; the nearest sum, the lower of two as near.
+
+    A sum above the budget is of use if it is over by less than its smallest document, so sums end at the budget and the
+    longest length together. The choice is read back from the sets before each piece, worked out again by halves where
+    they are more than `WORK` bits.
+    """
+    most = budget + max(room, default=0)
+    pieces = _pieces({n: min(c, most // n) for n, c in room.items()})
+    mask = (1 << most + 1) - 1
+    reach, last = 1, len(pieces)
     for step, (n, k) in enumerate(pieces):
-        if step % 64 == 0:
-            kept.append(reach)
         if reach >> budget & 1:
             last = step
             break
@@ -104,15 +165,25 @@ def _knapsack(room: dict[int, int], budget: int) -> dict[int, int]:
     high = budget + (rest & -rest).bit_length() - 1 if rest else None
     at = high if high is not None and high - budget < budget - low else low
     out: dict[int, int] = {}
-    for block in range((last - 1) // 64, -1, -1):
-        sets = [kept[block]]
-        for n, k in pieces[64 * block : min(64 * block + 64, last)]:
+
+    def back(start: int, stop: int, reach: int, at: int) -> int:
+        """Notes what pieces start .. stop give to the sum `at`; returns the sum before them."""
+        if stop - start > 1 and (stop - start) * most > WORK:
+            middle, after = (start + stop) // 2, reach
+            for n, k in pieces[start:middle]:
+                after |= after << n * k & mask
+            return back(start, middle, reach, back(middle, stop, after, at))
+        sets = [reach]
+        for n, k in pieces[start : stop - 1]:
             sets.append(sets[-1] | sets[-1] << n * k & mask)
-        for j in range(len(sets) - 2, -1, -1):
-            n, k = pieces[64 * block + j]
-            if not sets[j] >> at & 1:
+        for j in range(stop - 1, start - 1, -1):
+            if not sets[j - start] >> at & 1:
+                n, k = pieces[j]
                 out[n] = out.get(n, 0) + k
                 at -= n * k
+        return at
+
+    back(0, last, 1, at)
     return out
 
 
